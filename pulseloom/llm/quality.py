@@ -8,7 +8,7 @@ language has at most 64 ** 3 = 262,144 three-grams, whatever the size of the cor
 model that is broadcast has a proven bound: three sorted hash arrays a language of at most
 4.2 MB together, for at most MAX_LANGUAGES languages (the rest share the model '').
 
-A document's perplexity is judged against its language's band, from the corpus-wide quartiles
+A document's perplexity (the median of its segments') is judged against its language's band, from the corpus-wide quartiles
 of the rounded logarithms of all documents that pass the base rules: rejected are those
 under ``q1 - width * (q3 - q1)`` (boilerplate, loops) or over ``q3 + width * (q3 - q1)`` (noise).
 
@@ -32,9 +32,11 @@ from pulseloom.llm.common import BoundedMemo, cut, mix64
 CLASSES = 64
 MAX_LANGUAGES = 64
 MIN_WORDS = 50
-#: Least half-width of a band in natural log units, for corpora without spread.
-LEAST_SPREAD = 0.05
-WIDTH = 4.0
+#: Bytes of a segment; a document's perplexity is the median of its segments'.
+SEGMENT = 200
+#: Least quartile spread in natural log units, for corpora without spread, and the bands' width in spreads.
+LEAST_SPREAD = 0.02
+WIDTH = 3.5
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -187,6 +189,14 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Kn
     return {name: KneserNey.fit(g["code"].to_numpy(), g["n"].to_numpy()) for name, g in rows.groupby("lang")}
 
 
+def segment_median(logp: np.ndarray) -> float:
+    """Log perplexity of a text: the median of its segments' means, so that one quoted passage in
+    another language doesn't decide. Segments are equal and of SEGMENT to 2 * SEGMENT bytes."""
+    k = max(1, len(logp) // SEGMENT)
+    cuts = np.arange(k + 1) * len(logp) // k
+    return -float(np.median(np.add.reduceat(logp, cuts[:-1], dtype=np.float64) / np.diff(cuts)))
+
+
 _TABLES: dict[str, dict[str, np.ndarray]] = {}
 _WORDS = BoundedMemo(lambda w: xxhash.xxh3_64_intdigest(w), 300_000)
 
@@ -246,7 +256,7 @@ def measure(df: DataFrame, models: dict[str, KneserNey], key: str = "doc_id", te
                 raw = text.encode()
                 t = tables.get(name)
                 t = tables.get("", flat) if t is None else t
-                lp = -float(t[trigram_codes(raw)].sum(dtype=np.float64)) / len(raw) if raw else 0.0
+                lp = segment_median(t[trigram_codes(raw)]) if raw else 0.0
                 out.append((*base_counts(text, raw), round(lp, 4)))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.float64())]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bpe, mixing, quality, urls
+from pulseloom.llm import bpe, mixing, quality, simhash, spotsigs, urls
 from pulseloom.llm.common import table
 
 #: The vocabulary of the registered queries; the operators take any path.
@@ -33,6 +33,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edit_report(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "band_low", "band_high"
@@ -65,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op8_quality": op8_quality, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
+    return {"op1_bpe": op1_bpe, "op4_spotsigs": op4_spotsigs, "op5_simhash": op5_simhash, "op8_quality": op8_quality, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
