@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bpe, mixing, quality, simhash, spotsigs, urls
+from pulseloom.llm import bpe, mixing, quality, secrets, simhash, spotsigs, urls
 from pulseloom.llm.common import table
 
 #: The vocabulary of the registered queries; the operators take any path.
@@ -42,6 +42,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = secrets.scan(docs, secrets.train(docs)).select("doc_id", "spans")
+    written = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(written(F.filter("spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        count("crf").alias("n_added"),
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "band_low", "band_high"
@@ -74,7 +88,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op4_spotsigs": op4_spotsigs, "op5_simhash": op5_simhash, "op8_quality": op8_quality, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
+    return {"op1_bpe": op1_bpe, "op4_spotsigs": op4_spotsigs, "op5_simhash": op5_simhash, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
