@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bpe, mixing, quality, secrets, simhash, spotsigs, urls
+from pulseloom.llm import bpe, lines, lm, mixing, quality, secrets, simhash, spotsigs, urls
 from pulseloom.llm.common import table
 
 #: The vocabulary of the registered queries; the operators take any path.
@@ -33,6 +33,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("removed").cast("long").alias("n_spans"),
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + (s["stop"] - s["start"])).alias("n_removed_chars"),
+        F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",").alias("removed"),
+        "kept_text",
+    )
+
+
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +53,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log10_score", 6).alias("log10_score"), F.round("mean_log10_score", 6).alias("mean_log10_score"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = secrets.scan(docs, secrets.train(docs)).select("doc_id", "spans")
@@ -88,7 +104,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op4_spotsigs": op4_spotsigs, "op5_simhash": op5_simhash, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
+    return {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_spotsigs": op4_spotsigs, "op5_simhash": op5_simhash, "op6_lm": op6_lm, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
