@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +42,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write to a table in the shared checkpoint folder and read it back: compact, and safe from lost executors.
+
+    The table goes when the driver's process ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pulseloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED.append(path)
+    if len(_STORED) == 1:
+        atexit.register(_drop_stored, spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_STORED: list[str] = []
+
+
+def _drop_stored(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _STORED:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def scratch_name(tag: str) -> str:
     """A column name that no input column has."""
     return f"__{tag}_{uuid.uuid4().hex[:8]}"

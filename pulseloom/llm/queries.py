@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bpe, lines, lm, mixing, quality, secrets, simhash, spotsigs, urls
+from pulseloom.llm import bpe, lines, lm, mixing, passages, quality, secrets, simhash, spotsigs, urls
 from pulseloom.llm.common import table
 
 #: The vocabulary of the registered queries; the operators take any path.
@@ -44,6 +44,17 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_passages(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_report(table(spark, sf_dir, "documents"))
 
@@ -104,7 +115,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_spotsigs": op4_spotsigs, "op5_simhash": op5_simhash, "op6_lm": op6_lm, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
+    return {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op3_passages": op3_passages, "op4_spotsigs": op4_spotsigs, "op5_simhash": op5_simhash, "op6_lm": op6_lm, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
