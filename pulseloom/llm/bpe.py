@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseloom.llm.common import MASK64, BoundedMemo
+from pulseloom.llm.common import MASK64, BoundedMemo, claim
 
 _GOLD, _ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Pre-tokens that a worker remembers, and the longest one that it does.
-MEMO_ENTRIES, MEMO_CHARS = 500_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
 
 
 def _slot(high: int, d: int, n: int) -> int:
@@ -229,6 +229,7 @@ _ENCODERS: dict[int, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:  # noqa: ANN001
+    claim("bpe", _ENCODERS.clear)
     if shared.id not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[shared.id] = Encoder(shared.value)

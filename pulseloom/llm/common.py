@@ -96,6 +96,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None]) -> None:
+    """Called in a worker before it fills memos: what other operators hold there is released first."""
+    for other in [o for o in _HELD if o != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = release
+
+
 class BoundedMemo(dict):
     """A dictionary that computes what it misses and starts anew once it is full."""
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import BoundedMemo, mix64
+from pulseloom.llm.common import BoundedMemo, claim, mix64
 
 ALPHA = 0.4
 GROUP_BYTES, PARTITION_NGRAMS = 12 << 20, 3_000_000
@@ -52,6 +52,7 @@ def ngram_hashes(text: str, order: int) -> list[np.ndarray]:
 
 def group_counts(texts: list[str], order: int) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray]:
     """Each text's hashes, and the group's sorted distinct hashes of all orders with their counts."""
+    claim("lm", _MEMO.clear)
     per = [ngram_hashes(t, order) for t in texts]
     every = [g[n - 1 :] for doc in per for n, g in enumerate(doc, 1) if len(g) >= n]
     keys, counts = np.unique(np.concatenate(every) if every else np.empty(0, np.uint64), return_counts=True)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import BoundedMemo, cut, mix64
+from pulseloom.llm.common import BoundedMemo, claim, cut, mix64
 
 CLASSES = 64
 MAX_LANGUAGES = 64
@@ -244,6 +244,7 @@ def measure(df: DataFrame, models: dict[str, KneserNey], key: str = "doc_id", te
     docs = df.select(F.col(key), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
 
     def run(batches):  # noqa: ANN001, ANN202
+        claim("quality", lambda: (_TABLES.clear(), _WORDS.clear()))
         if tag not in _TABLES:
             _TABLES.clear()
             _TABLES[tag] = {name: m.table().astype(np.float32) for name, m in shared.value.items()}

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulseloom.llm.common import claim
+
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -40,7 +42,7 @@ BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 #: Bounds of the training sample.
 SAMPLE_DOCS, WINDOWS, REACH = 20_000, 1_000, 10
 STEPS, RATE, L2 = 60, 0.5, 1e-3
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -338,8 +340,20 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 _TAGGERS: dict[str, Tagger] = {}
 
 
-def scan(df: DataFrame, crf: Field, text: str = "text", lang: str = "lang", out: str = "spans") -> DataFrame:
-    """``df`` with ``out``: array of (kind, start, end), by start and then kind. One scan, no shuffle."""
+def marked(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """``text`` with ``mark`` in place of each stretch that (start, kind, end) spans cover."""
+    parts, done = [], 0
+    for a, _, b in sorted(spans):
+        if a >= done:
+            parts += [text[done:a], mark]
+        done = max(done, b)
+    return "".join([*parts, text[done:]])
+
+
+def scan(df: DataFrame, crf: Field, text: str = "text", lang: str = "lang", out: str = "spans", mark: str | None = None) -> DataFrame:
+    """``df`` with ``out``: array of (kind, start, end), by start and then kind. One scan, no shuffle.
+
+    With ``mark``, the text's spans are also replaced by it; null texts stay null."""
     if out in df.columns:
         raise ValueError(f"column {out} exists")
     shared = df.sparkSession.sparkContext.broadcast(crf)
@@ -349,41 +363,24 @@ def scan(df: DataFrame, crf: Field, text: str = "text", lang: str = "lang", out:
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):  # noqa: ANN001, ANN202
+        claim("secrets", _TAGGERS.clear)
         if tag not in _TAGGERS:
             _TAGGERS.clear()
             _TAGGERS[tag] = Tagger(shared.value)
         tagger = _TAGGERS[tag]
         for batch in batches:
-            found = []
+            found, clean = [], []
             for cell, name in zip(batch.column(at), batch.column(by).to_pylist(), strict=True):
                 text = cell.as_py() or ""
                 base = base_spans(text)
-                found.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + tagger.added(text, "" if name is None else str(name), base))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=[*batch.schema.names, out])
+                spans = sorted(base + tagger.added(text, "" if name is None else str(name), base))
+                found.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
+                if mark is not None:
+                    clean.append(marked(text, spans, mark) if spans else cell.as_py())
+            columns = list(batch.columns)
+            if mark is not None:
+                columns[at] = pa.array(clean, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, arrow)], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
 
-
-def redact(df: DataFrame, text: str = "text", spans: str = "spans", mark: str = "<secret>") -> DataFrame:
-    """``df`` whose ``text`` has ``mark`` in place of the union of each row's spans (null texts stay null)."""
-    at, by = df.columns.index(text), df.columns.index(spans)
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            out = []
-            for cell, found in zip(batch.column(at), batch.column(by), strict=True):
-                found = found.as_py()
-                if not found:
-                    out.append(cell.as_py())
-                    continue
-                t, parts, done = cell.as_py(), [], 0
-                for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= done:
-                        parts += [t[done : s["start"]], mark]
-                    done = max(done, s["end"])
-                out.append("".join([*parts, t[done:]]))
-            arrays = list(batch.columns)
-            arrays[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
-
-    return df.mapInArrow(run, df.schema)

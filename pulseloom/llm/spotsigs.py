@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import BoundedMemo, cut, mix64, shuffle_partitions
+from pulseloom.llm.common import BoundedMemo, claim, cut, mix64, shuffle_partitions
 
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -103,6 +103,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     at = df.columns.index(text)
 
     def run(batches):  # noqa: ANN001, ANN202
+        claim("spotsigs", _MEMO.clear)
         for batch in batches:
             sigs = [signatures(x.as_py() or "") for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
@@ -196,6 +197,7 @@ def with_following(df: DataFrame, fn, schema: str, key: str = "doc_id", text: st
     dealt = both.where("p.place IS NOT NULL").select("id", "text", "p.place", "p.guest").repartition(min(ranges, shuffle_partitions(spark)), "place").sortWithinPartitions("place", "guest", F.desc("id"), "text")
 
     def run(batches):  # noqa: ANN001, ANN202
+        claim("spotsigs", _MEMO.clear)
         held = None  # (place, id, text) that waits for what follows
         waiting = True
         for batch in batches:
