@@ -26,7 +26,7 @@ SPIKES = "spikes AS (SELECT user_id AS train_id, epoch_us(ts) - epoch_us(TIMESTA
 BINNED = f"""{SPIKES}, binned AS (SELECT train_id, bin, count(*) AS n FROM (SELECT train_id, t_us // {HOUR} + CASE WHEN t_us % {HOUR} >= {HOUR} * (1 - 1e-8) THEN 1 ELSE 0 END AS bin FROM spikes WHERE t_us BETWEEN 0 AND {SPAN_US}) WHERE bin < {HOURS} GROUP BY ALL)"""
 ISI = f"""{SPIKES}, isi AS (SELECT * FROM (SELECT train_id, row_number() OVER w - 2 AS i, t_us - lag(t_us) OVER w AS isi_us FROM spikes WINDOW w AS (PARTITION BY train_id ORDER BY t_us)) WHERE isi_us IS NOT NULL)"""
 UNITS = f"""units AS (SELECT (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // {DAY_US} AS trial_id, event_type AS train_id,
-list_position(['click','error','login','purchase','view'], event_type) AS unit, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) % {DAY_US} AS t_us FROM events)"""
+list_position(['click','error','purchase','signup','view'], event_type) AS unit, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) % {DAY_US} AS t_us FROM events)"""
 SAMPLES = "samples AS (SELECT label AS trial_id, vec_id AS k, unnest(range(0, {n})) AS channel, unnest(embedding[1:{n}])::DOUBLE AS v FROM embeddings)"
 VALUES_ = "vals AS (SELECT user_id AS channel, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, value AS v FROM events)"
 

@@ -25,7 +25,7 @@ def event_trains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unit_trains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """spikes (trial_id, train_id, t_us): a unit for each event type in alphabetical order, a trial for each day."""
-    units = F.array_position(F.array(*[F.lit(x) for x in ("click", "error", "login", "purchase", "view")]), F.col("event_type"))
+    units = F.array_position(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), F.col("event_type"))
     t = micros()
     return table(spark, sf_dir, "events").select(F.floor(t / DAY_US).cast("int").alias("trial_id"), F.col("event_type").alias("train_id"), units.cast("int").alias("unit"), F.pmod(t, F.lit(DAY_US)).alias("t_us"))
 
