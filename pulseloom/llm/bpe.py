@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseloom.llm.common import MASK64, BoundedMemo, claim
+from pulseloom.llm.common import MASK64, BoundedMemo, claim, small_batches
 
 _GOLD, _ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Pre-tokens that a worker remembers, and the longest one that it does.
@@ -268,7 +268,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str =
             packed = [encoder.packed(x.as_py() or "") for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    return small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids_packed", out: str = "decoded") -> DataFrame:
@@ -285,7 +285,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids_packed", out:
             texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    return small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def unpack_ids(df: DataFrame, ids: str = "ids_packed", out: str = "ids") -> DataFrame:

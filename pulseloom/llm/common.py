@@ -6,10 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 MASK64 = (1 << 64) - 1
@@ -75,16 +74,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one record batch."""
+#: Rows of a batch that goes to a worker: texts may be long, and a batch is held about three times.
+BATCH_ROWS = 1_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
 
-    return df.mapInArrow(run, schema)
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends texts to workers in batches of at most BATCH_ROWS rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulseloom.llm.common import small_batches
+
 #: What separates units; a unit keeps its end mark but not the separator.
 SEPARATORS = {"line": re.compile(r"\n+"), "paragraph": re.compile(r"\n[ \t]*\n\s*"), "sentence": re.compile(r"(?<=[.!?])[ \t]+|\n+")}
 LEAST_WORDS = 6
@@ -60,7 +62,7 @@ def hashed_units(df: DataFrame, key: str, text: str, unit: str, least_words: int
                     [pa.array(d[:, 0]), pa.array(d[:, 1]), batch.column(0).take(pa.array(ids)), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["d1", "d2", "key", "start", "stop"]
                 )
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"d1 long, d2 long, key {kind}, start int, stop int")
+    return small_batches(df.select(F.col(key), F.col(text))).mapInArrow(run, f"d1 long, d2 long, key {kind}, start int, stop int")
 
 
 def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import BoundedMemo, claim, cut, mix64
+from pulseloom.llm.common import BoundedMemo, claim, cut, mix64, small_batches
 
 CLASSES = 64
 MAX_LANGUAGES = 64
@@ -98,7 +98,7 @@ def count_trigrams(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
                         t[at] += n
         yield from flush()
 
-    return docs.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return small_batches(docs).mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: np.ndarray) -> tuple[float, float, float]:
@@ -263,7 +263,7 @@ def measure(df: DataFrame, models: dict[str, KneserNey], key: str = "doc_id", te
             arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["key", "lang", *(x.split()[0] for x in STATS.split(", "))])
 
-    return docs.mapInArrow(run, f"key {kind}, lang string, {STATS}").withColumnRenamed("key", key)
+    return small_batches(docs).mapInArrow(run, f"key {kind}, lang string, {STATS}").withColumnRenamed("key", key)
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = WIDTH, models: dict[str, KneserNey] | None = None) -> DataFrame:

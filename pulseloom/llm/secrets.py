@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseloom.llm.common import claim
+from pulseloom.llm.common import claim, small_batches
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -326,7 +326,7 @@ def training_windows(df: DataFrame, key: str = "doc_id", text: str = "text", lan
                     names=["h", "positive", "tokens", "labels", "doc"],
                 )
 
-    found = docs.mapInArrow(run, schema)
+    found = small_batches(docs).mapInArrow(run, schema)
     rows = []
     for kind in (True, False):
         rows += found.where(F.col("positive") == kind).orderBy("h", "tokens").limit(WINDOWS).collect()
@@ -382,5 +382,5 @@ def scan(df: DataFrame, crf: Field, text: str = "text", lang: str = "lang", out:
                 columns[at] = pa.array(clean, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, arrow)], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
+    return small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
 

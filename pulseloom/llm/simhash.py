@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import cut, shuffle_partitions
+from pulseloom.llm.common import cut, shuffle_partitions, small_batches
 from pulseloom.llm.components import connected_components
 
 BITS = 64
@@ -69,7 +69,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
             fps = np.array([fingerprint(x.as_py() or "", shingle, seed) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    return small_batches(df.select(F.col(key), F.col(text))).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
 def bit_counts(classes: DataFrame) -> tuple[int, np.ndarray]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import BoundedMemo, claim, cut, mix64, shuffle_partitions
+from pulseloom.llm.common import BoundedMemo, claim, cut, mix64, shuffle_partitions, small_batches
 
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -111,7 +111,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
             )
 
     schema = df.withColumn(out, F.lit("")).withColumn("n_signatures", F.lit(0)).schema
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def length_partition(n: int, threshold: float) -> int:
@@ -218,7 +218,7 @@ def with_following(df: DataFrame, fn, schema: str, key: str = "doc_id", text: st
             if ids:
                 yield fn(ids, texts, nexts)
 
-    return dealt.mapInArrow(run, schema)
+    return small_batches(dealt).mapInArrow(run, schema)
 
 
 #: Slices of the key's span whose counts come to the driver for balanced ranges.
