@@ -34,7 +34,7 @@ from pulseloom.llm.common import MASK64, BoundedMemo, claim, small_batches
 
 _GOLD, _ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Pre-tokens that a worker remembers, and the longest one that it does.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
 
 
 def _slot(high: int, d: int, n: int) -> int:

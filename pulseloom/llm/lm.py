@@ -29,7 +29,7 @@ from pulseloom.llm.common import BoundedMemo, claim, mix64
 
 ALPHA = 0.4
 GROUP_BYTES, PARTITION_NGRAMS = 12 << 20, 3_000_000
-_MEMO = BoundedMemo(lambda w: xxhash.xxh3_64_intdigest(w), 300_000)
+_MEMO = BoundedMemo(lambda w: xxhash.xxh3_64_intdigest(w), 200_000)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 

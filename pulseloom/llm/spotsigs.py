@@ -48,7 +48,7 @@ def _word(token: str) -> int:
     return h | (1 if not bare or bare in ANCHORS else 0) | (2 if token[-1] in ".!?" else 0)
 
 
-_MEMO = BoundedMemo(_word, 300_000)
+_MEMO = BoundedMemo(_word, 200_000)
 
 
 def signatures(text: str) -> np.ndarray:
