@@ -6,6 +6,7 @@ shuffles by key and bucket instead of becoming a nested loop.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,15 @@ def literal_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:  # no
     return F.broadcast(df) if len(rows) <= LITERAL_ROWS else df
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialised in the shared checkpoint folder, for what is read more than once."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulseloom-"))
+    return df.checkpoint()
+
+
 def spine(df: DataFrame, name: str, start: int, stop: int) -> DataFrame:
     """Each row of ``df`` with each integer from ``start`` up to but not including ``stop``."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(start).cast("long"), F.lit(stop - 1).cast("long"))))

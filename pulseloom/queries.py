@@ -585,3 +585,324 @@ def _(spark, sf):
 @query("joint_isi_histogram", f"WITH {ISI}, p AS (SELECT isi_us // {HOUR} AS a, lead(isi_us) OVER (PARTITION BY train_id ORDER BY i) // {HOUR} AS b FROM isi) SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL AND a < 50 AND b < 50 GROUP BY ALL")
 def _(spark, sf):
     return surrogates.joint_isi_histogram(event_trains(spark, sf), HOUR, 50)
+
+
+# ---- spectra and causality ----
+
+
+def _recordings(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of neighbouring vector positions as recordings of two channels."""
+    x = vector_signals(spark, sf, 8)
+    return x.select(F.floor(F.col("channel") / 2).cast("int").alias("recording"), F.pmod("channel", F.lit(2)).alias("channel"), "k", "v")
+
+
+_PI2 = "2 * pi()"
+
+
+@query("periodogram", f"WITH {SAMPLES.format(n=2)}, m AS (SELECT channel, avg(v) AS a, count(*) AS n FROM samples WHERE k < 256 GROUP BY 1), x AS (SELECT channel, k, (v - a) * (0.5 - 0.5 * cos({_PI2} * k / 256)) AS v FROM samples JOIN m USING (channel) WHERE k < 256), f AS (SELECT channel, b, sum(v * cos({_PI2} * b * k / 256)) AS re, sum(v * sin({_PI2} * b * k / 256)) AS im FROM x, range(0, 129) AS r(b) GROUP BY ALL), w AS (SELECT sum(pow(0.5 - 0.5 * cos({_PI2} * i / 256), 2)) AS s FROM range(0, 256) AS q(i)) SELECT channel::INT AS channel, b / 256.0::DOUBLE AS freq, round(CASE WHEN b IN (0, 128) THEN 1 ELSE 2 END * (re * re + im * im) / s, 6) AS psd FROM f, w")
+def _(spark, sf):
+    from pulseloom.operators import spectral
+
+    x = vector_signals(spark, sf, 2).where("k < 256")
+    return spectral.welch_psd(x, length=256).withColumn("psd", F.round("psd", 6))
+
+
+@query("welch_psd")
+def _(spark, sf):
+    from pulseloom.operators import spectral
+
+    return spectral.welch_psd(vector_signals(spark, sf, 8))
+
+
+@query("multitaper_psd")
+def _(spark, sf):
+    from pulseloom.operators import spectral
+
+    return spectral.multitaper_psd(vector_signals(spark, sf, 4), n_segments=4)
+
+
+@query("multitaper_cross_spectrum")
+def _(spark, sf):
+    from pulseloom.operators import spectral
+
+    return spectral.multitaper_cross_spectrum(_recordings(spark, sf), n_segments=4)
+
+
+@query("coherence")
+def _(spark, sf):
+    from pulseloom.operators import spectral
+
+    return spectral.coherence(_recordings(spark, sf))
+
+
+@query("weighted_phase_lag_index")
+def _(spark, sf):
+    from pulseloom.operators import spectral
+
+    w = Window.partitionBy("trial_id", "channel").orderBy("k")
+    x = vector_signals(spark, sf, 2).withColumn("k", F.row_number().over(w)).where("k <= 32")
+    return spectral.weighted_phase_lag_index(x)
+
+
+@query("pairwise_granger")
+def _(spark, sf):
+    from pulseloom.operators import causality
+
+    return causality.granger(_recordings(spark, sf), "recording", 3)
+
+
+@query("conditional_granger")
+def _(spark, sf):
+    from pulseloom.operators import causality
+
+    x = vector_signals(spark, sf, 3).withColumn("recording", F.lit(0))
+    return causality.conditional_granger(x, "recording", 3)
+
+
+@query("spectral_granger")
+def _(spark, sf):
+    from pulseloom.operators import causality
+
+    return causality.spectral(_recordings(spark, sf), "recording", n_segments=8)
+
+
+# ---- generators ----
+
+for _kind, _options in (("poisson", {"refractory": 0.005}), ("gamma", {"shape": 2.0}), ("lognormal", {"sigma": 0.6}), ("inverse_gaussian", {"cv": 0.8})):
+
+    @query(f"generate_{_kind}")
+    def _(spark, sf, kind=_kind, options=_options):
+        from pulseloom.operators import generators
+
+        return generators.stationary(spark, kind, 20, 10.0, 0.0, 10.0, **options)
+
+
+@query("generate_modulated")
+def _(spark, sf):
+    from pulseloom.operators import generators
+
+    return generators.modulated(spark, "gamma", 20, [5.0] * 50 + [20.0] * 50, 0.1, shape=2.0)
+
+
+@query("generate_compound_poisson")
+def _(spark, sf):
+    from pulseloom.operators import generators
+
+    return generators.compound_poisson(spark, 5.0, [0.0, 0.8, 0.0, 0.0, 0.2], 50.0)
+
+
+@query("generate_single_interaction")
+def _(spark, sf):
+    from pulseloom.operators import generators
+
+    return generators.single_interaction(spark, 4, 10.0, 2.0, 20.0, 0.002)
+
+
+@query("generate_granger_pair")
+def _(spark, sf):
+    from pulseloom.sources import datasets
+
+    return datasets.load(spark, "granger_pair", length=2000)
+
+
+# ---- patterns ----
+
+_W = 3
+_CTX = f"{UNITS}, cells AS (SELECT DISTINCT unit, trial_id * 24 + t_us // {HOUR} AS bin FROM units), st AS (SELECT DISTINCT bin AS win FROM cells), ctx AS (SELECT win, unit * {_W} + bin - win AS item FROM st JOIN cells ON bin BETWEEN win AND win + {_W - 1})"
+
+
+def _mining_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return unit_trains(spark, sf).select("unit", (F.col("trial_id") * 24 + F.floor(F.col("t_us") / HOUR)).cast("long").alias("bin")).distinct()
+
+
+@query("pattern_context", f"WITH {_CTX} SELECT win AS \"window\", item FROM ctx")
+def _(spark, sf):
+    from pulseloom.operators import patterns
+
+    return patterns.context(_mining_cells(spark, sf), _W)
+
+
+@query("pattern_pairs", f"WITH {SPIKES}, cells AS (SELECT DISTINCT train_id AS unit, t_us // {HOUR} AS bin FROM spikes WHERE train_id < 12), s AS (SELECT a.unit AS a, b.unit AS b, count(*) AS support FROM cells a JOIN cells b ON a.bin = b.bin AND a.unit < b.unit GROUP BY ALL) SELECT a, b, support FROM s WHERE support >= 5")
+def _(spark, sf):
+    from pulseloom.operators import patterns
+
+    cells = event_trains(spark, sf).where("train_id < 12").select(F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
+    out = patterns.closed_sets(patterns.context(cells, 1), 1, 2, 5, 2)
+    return out.where(F.size("itemset") == 2).select(F.col("itemset")[0].alias("a"), F.col("itemset")[1].alias("b"), "support")
+
+
+def _mined(spark: SparkSession, sf: str) -> DataFrame:
+    from pulseloom.operators import patterns
+
+    cells = event_trains(spark, sf).where("train_id < 12").select(F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
+    return patterns.drop_window_subsets(patterns.closed_sets(patterns.context(cells, 2), 2, 2, 5, 3), 2)
+
+
+@query("closed_patterns")
+def _(spark, sf):
+    from pulseloom.operators import patterns
+
+    return patterns.as_patterns(_mined(spark, sf), 2, HOUR)
+
+
+@query("pattern_significance")
+def _(spark, sf):
+    from pulseloom.operators import patterns
+
+    spikes = event_trains(spark, sf).where("train_id < 12")
+    moved = surrogates.dither_spikes(spikes, 3 * HOUR, 0, SPAN_US, 10, seed=1)
+    cells = moved.select("surrogate", F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
+    found = patterns.closed_sets(patterns.context(cells, 2, ["surrogate"]), 2, 2, 5, 3, by=["surrogate"])
+    return patterns.rejected(patterns.p_value_spectrum(found, 10), 0.2)
+
+
+@query("pattern_stability")
+def _(spark, sf):
+    from pulseloom.operators import patterns
+
+    return patterns.stability(_mined(spark, sf), 50).select("itemset", "support", "stability")
+
+
+@query("pair_coincidences", f"WITH {BINNED} SELECT a.train_id AS i, b.train_id AS j, b.bin - a.bin AS lag, sum(least(a.n, b.n))::BIGINT AS n FROM binned a JOIN binned b ON b.bin BETWEEN a.bin - 2 AND a.bin + 2 AND a.train_id < b.train_id WHERE a.train_id < 30 AND b.train_id < 30 GROUP BY ALL")
+def _(spark, sf):
+    from pulseloom.operators import patterns
+
+    return patterns.pair_coincidences(hourly(spark, sf).take(0, HOURS, 1, list(range(30))).counts, 2)
+
+
+@query("cell_assemblies")
+def _(spark, sf):
+    from pulseloom.operators import patterns
+
+    b = hourly(spark, sf).take(0, HOURS, 1, list(range(60)))
+    return patterns.assembly_pairs(b.counts, HOURS, 3, 0.9, 3)
+
+
+# ---- sequences of synchronous events ----
+
+_DAYS = f"{SPIKES}, cells AS (SELECT DISTINCT train_id, t_us // {6 * HOUR} AS bin FROM spikes WHERE train_id < 40)"
+
+
+def _day_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return event_trains(spark, sf).where("train_id < 40").select("train_id", F.floor(F.col("t_us") / (6 * HOUR)).cast("long").alias("bin")).distinct()
+
+
+@query("transactions", f"WITH {_DAYS} SELECT bin, array_to_string(list_sort(list(train_id)), ',') AS ids FROM cells GROUP BY 1")
+def _(spark, sf):
+    from pulseloom.operators import sequences
+
+    return sequences.transactions(_day_cells(spark, sf)).select("bin", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+for _norm, _by in ((None, "n"), ("intersection", "round(n / least(a.s, b.s), 9)"), ("mean", "round(n / sqrt(a.s * b.s), 9)"), ("union", "round(n / (a.s + b.s - n), 9)")):
+
+    @query(f"intersection_matrix_{_norm or 'counts'}", f"WITH {_DAYS}, s AS (SELECT bin, count(*) AS s FROM cells GROUP BY 1), m AS (SELECT a.bin AS i, b.bin AS j, count(*) AS n FROM cells a JOIN cells b USING (train_id) GROUP BY ALL) SELECT i, j, {_by} AS value FROM m JOIN s a ON i = a.bin JOIN s b ON j = b.bin")
+    def _(spark, sf, norm=_norm):
+        from pulseloom.operators import sequences
+
+        out = sequences.intersection_matrix(_day_cells(spark, sf), None, norm)
+        return out if norm is None else out.withColumn("value", F.round("value", 9))
+
+
+def _pmat(spark: SparkSession, sf: str) -> DataFrame:
+    from pulseloom.operators import sequences
+
+    cells = _day_cells(spark, sf)
+    p = sequences.boxcar_rates(cells, cells.select("train_id").distinct(), 120, 4)
+    return sequences.probability_matrix(sequences.intersection_matrix(cells), p)
+
+
+@query("boxcar_rates", f"WITH {_DAYS}, g AS (SELECT t.train_id, r.bin, CASE WHEN c.bin IS NULL THEN 0 ELSE 1 END AS x FROM (SELECT DISTINCT train_id FROM cells) t CROSS JOIN range(0, 120) AS r(bin) LEFT JOIN cells c ON c.train_id = t.train_id AND c.bin = r.bin) SELECT train_id, bin, round(avg(x) OVER (PARTITION BY train_id ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 9) AS p FROM g")
+def _(spark, sf):
+    from pulseloom.operators import sequences
+
+    cells = _day_cells(spark, sf)
+    return sequences.boxcar_rates(cells, cells.select("train_id").distinct(), 120, 4).withColumn("p", F.round("p", 9))
+
+
+@query("probability_matrix")
+def _(spark, sf):
+    return _pmat(spark, sf)
+
+
+@query("joint_probability_matrix")
+def _(spark, sf):
+    from pulseloom.operators import sequences
+
+    return sequences.joint_probability_matrix(_pmat(spark, sf).where("i < 40 AND j < 40"), 5, 1, 3)
+
+
+@query("synchronous_event_clusters")
+def _(spark, sf):
+    from pulseloom.operators import sequences
+
+    cells = _day_cells(spark, sf)
+    pixels = sequences.mask([sequences.intersection_matrix(cells), _pmat(spark, sf)], [1, 0.9]).where("i <> j")
+    labels = sequences.cluster(pixels, 3.0, 2, 5.0)
+    return sequences.synchronous_events(labels, cells).select("label", "i", "j", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+# ---- populations, change points, densities, latents ----
+
+
+@query("cumulants", f"WITH {BINNED}, h AS (SELECT r.bin, coalesce(sum(n), 0)::DOUBLE AS v FROM range(0, {HOURS}) AS r(bin) LEFT JOIN binned USING (bin) GROUP BY 1), s AS (SELECT count(*) AS n, sum(v) AS a, sum(v * v) AS b, sum(v * v * v) AS c FROM h) SELECT round(a / n, 6) AS k1, round((b - a * a / n) / (n - 1), 6) AS k2, round(n * (c - 3 * (a / n) * b + 2 * n * pow(a / n, 3)) / ((n - 1) * (n - 2)), 4) AS k3 FROM s")
+def _(spark, sf):
+    from pulseloom.operators import population
+
+    _, k1, k2, k3 = population.kstat(rates.time_histogram(hourly(spark, sf)))
+    return spark.range(1).select(F.round(F.lit(k1), 6).alias("k1"), F.round(F.lit(k2), 6).alias("k2"), F.round(F.lit(k3), 4).alias("k3"))
+
+
+@query("cubic")
+def _(spark, sf):
+    from pulseloom.operators import population
+
+    order, p, _ = population.cubic(rates.time_histogram(hourly(spark, sf)))
+    return spark.createDataFrame([(order, p[-1])], "xi int, p_value double")
+
+
+@query("multiple_filter_test")
+def _(spark, sf):
+    from pulseloom.operators import population
+
+    t = event_trains(spark, sf).where("train_id < 20").select("train_id", (F.col("t_us") / 1e6 / 3600).alias("t"))
+    return population.multiple_filter_test(t, [48.0, 96.0], 720.0, step=6.0)
+
+
+@query("standard_csd", f"WITH {SAMPLES.format(n=16)} SELECT channel::INT AS channel, k, round(-0.3 * (coalesce(lag(v) OVER w, v) - 2 * v + coalesce(lead(v) OVER w, v)) / pow(0.1, 2), 6) AS csd FROM samples WINDOW w AS (PARTITION BY k ORDER BY channel)")
+def _(spark, sf):
+    from pulseloom.operators import density
+
+    return density.standard_csd(vector_signals(spark, sf, 16), 0.1).withColumn("csd", F.round("csd", 6))
+
+
+for _method in ("delta", "step", "spline", "kernel"):
+
+    @query(f"{_method}_csd")
+    def _(spark, sf, method=_method):
+        import numpy as np
+
+        from pulseloom.operators import density
+
+        z = np.arange(1, 17) * 0.1
+        m = {
+            "delta": lambda: density.delta_matrix(z, 0.5), "step": lambda: density.step_matrix(z, 0.5), "spline": lambda: density.spline_matrix(z, 0.5, np.linspace(0.1, 1.6, 31)),
+            "kernel": lambda: density.kernel_matrix(z[:, None], np.linspace(0.1, 1.6, 31)[:, None], 0.15, 1e-3),
+        }[method]()
+        return density.apply_matrix(vector_signals(spark, sf, 16), m)
+
+
+@query("latent_trajectories")
+def _(spark, sf):
+    from pulseloom.operators import latent
+
+    c = unit_trains(spark, sf).groupBy("trial_id", "unit", F.floor(F.col("t_us") / HOUR).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    model = latent.fit(c, [1, 2, 3, 4, 5], 24, 2, 5)
+    return latent.transform(c, model, [1, 2, 3, 4, 5], 24)
+
+
+@query("stream_histogram", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, sf):
+    from pulseloom.streaming.counts import histogram
+
+    return histogram(table(spark, sf, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
