@@ -392,7 +392,7 @@ def _(spark, sf):
     return distances.victor_purpura(few(spark, sf), 0.0)
 
 
-@query("victor_purpura_infinite", f"WITH {_FEW} SELECT a.train_id AS i, b.train_id AS j, (a.n + b.n - 2 * (SELECT count(*) FROM few x JOIN few y USING (t_us) WHERE x.train_id = a.train_id AND y.train_id = b.train_id))::DOUBLE AS distance FROM c a JOIN c b ON a.train_id < b.train_id")
+@query("victor_purpura_infinite", f"WITH {_FEW}, s AS (SELECT x.train_id AS i, y.train_id AS j, count(*) AS k FROM few x JOIN few y ON x.t_us = y.t_us AND x.train_id < y.train_id GROUP BY ALL) SELECT a.train_id AS i, b.train_id AS j, (a.n + b.n - 2 * coalesce(k, 0))::DOUBLE AS distance FROM c a JOIN c b ON a.train_id < b.train_id LEFT JOIN s ON s.i = a.train_id AND s.j = b.train_id")
 def _(spark, sf):
     return distances.victor_purpura(few(spark, sf), float("inf"))
 
