@@ -290,6 +290,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids_packed", out:
 
 def unpack_ids(df: DataFrame, ids: str = "ids_packed", out: str = "ids") -> DataFrame:
     """``df`` with ``out``: the packed ids as an array of integers, in JVM expressions."""
-    word = lambda i: F.reverse(F.substring(F.col(ids), i * 4 + 1, F.lit(4)))
+    byte = lambda i, k: F.hex(F.substring(F.col(ids), i * 4 + k, F.lit(1)))
+    word = lambda i: F.concat(*[byte(i, k) for k in (4, 3, 2, 1)])
     n = (F.octet_length(ids) / 4).cast("int")
-    return df.withColumn(out, F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.hex(word(i)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>")))
+    return df.withColumn(out, F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(word(i), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>")))

@@ -140,6 +140,8 @@ def segment_rows(docs: DataFrame) -> DataFrame:
             doc = ids[place]
             order = np.lexsort((start, doc, seg, key))
             doc, key, seg, at = doc[order], key[order], seg[order], _pack(start, windows, offset)[order]
+            once = _once(key, seg, doc, at)  # rows that share an id and a text
+            doc, key, seg, at = doc[once], key[once], seg[once], at[once]
             settled = np.zeros(len(doc), bool)
             settled[1:] = (key[1:] == key[:-1]) & (seg[1:] == seg[:-1])
             key = np.where(settled, mix64(doc.view(np.uint64)), key)
@@ -148,6 +150,14 @@ def segment_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, seg long, doc long, at long, settled boolean")
 
 
+def _once(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new) > 1:
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
@@ -183,6 +193,8 @@ def settle(rows: DataFrame) -> DataFrame:
     def run(batches):  # noqa: ANN001, ANN202
         for table in _runs(batches, ["key", "seg", "doc", "at", "settled"], "key", 200_000):
             key, seg, doc, at, settled = (table.column(c).to_numpy() for c in ("key", "seg", "doc", "at", "settled"))
+            once = settled | _once(key, seg, doc, at)
+            key, seg, doc, at, settled = key[once], seg[once], doc[once], at[once], settled[once]
             repeat = settled.copy()
             live = np.flatnonzero(~settled)
             k, s = key[live], seg[live]
@@ -317,6 +329,8 @@ def settle_bytes(rows: DataFrame) -> DataFrame:
                 name, this = (k, blobs[i][a : a + n + LENGTH - 1]), (d, s, n)
                 if (seen := first.get(name)) is None:
                     first[name] = this
+                elif this == seen:  # a row that shares its id and text with another
+                    continue
                 elif this < seen:
                     out.append(seen)
                     first[name] = this
