@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (u, v): component is the smallest node reachable.
 
     Loops and repeated edges don't matter; nodes without edges are not in the result."""
-    pairs = edges.where("u <> v").select("u", "v")
+    # Cut before it is read in both directions: edges that are worked out anew may be another spanning forest.
+    pairs = cut(edges.where("u <> v").select("u", "v").distinct())
     both = cut(pairs.union(pairs.select("v", "u")).distinct())
     labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
     while True:

@@ -245,7 +245,7 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
         own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
         with_all = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.least(j, own) * F.col("slices") + F.greatest(j, own))
         rows = rows.withColumn("block", F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(0))).otherwise(with_all))).drop("slices")
-    dealt = rows.repartition(parts, "part", "bucket", "block").sortWithinPartitions("part", "bucket", "block")
+    dealt = rows.repartition(parts, "part", "bucket", "block").sortWithinPartitions("part", "bucket", "block", "fp", "probe")
 
     def run(batches):  # noqa: ANN001, ANN202
         held: list[tuple] = []  # arrays of the group at the end of what has been read
