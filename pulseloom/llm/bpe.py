@@ -34,7 +34,7 @@ from pulseloom.llm.common import MASK64, BoundedMemo, claim, small_batches
 
 _GOLD, _ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Pre-tokens that a worker remembers, and the longest one that it does.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 220_000, 64
 
 
 def _slot(high: int, d: int, n: int) -> int:
@@ -252,23 +252,31 @@ def _share(spark: SparkSession, vocabulary: Vocabulary) -> _Shared:
     return _Shared(spark.sparkContext.broadcast(vocabulary), key)
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids_packed") -> DataFrame:
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids_packed", decoded: str | None = None) -> DataFrame:
     """``df`` with ``out`` (binary): the ids of ``text`` as little-endian unsigned 32-bit integers.
 
-    Packed ids are what training shards store; ``unpack_ids`` gives them as an array.
-    Raises if ``out`` is already a column.
+    Packed ids are what training shards store; ``unpack_ids`` gives them as an array. With
+    ``decoded``, the ids are also decoded, in the same worker, into that column (binary).
+    Raises if a new column's name is taken.
     """
-    if out in df.columns:
-        raise ValueError(f"column {out} exists")
+    new = [out] if decoded is None else [out, decoded]
+    if clash := set(new) & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} exist")
     shared, at = _share(df.sparkSession, vocabulary), df.columns.index(text)
 
     def run(batches):  # noqa: ANN001, ANN202
         encoder = _encoder(shared)
         for batch in batches:
-            packed = [encoder.packed(x.as_py() or "") for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, out])
+            added = [[encoder.packed(x.as_py() or "") for x in batch.column(at)]]
+            if decoded is not None:
+                added.append([decode_packed(x, encoder.vocabulary.tokens) for x in added[0]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.binary()) for x in added)], names=[*batch.schema.names, *new])
 
-    return small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    return small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(x, T.BinaryType()) for x in new)]))
+
+
+def decode_packed(packed: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids_packed", out: str = "decoded") -> DataFrame:
@@ -282,7 +290,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids_packed", out:
     def run(batches):  # noqa: ANN001, ANN202
         tokens = shared.value.tokens
         for batch in batches:
-            texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(at)]
+            texts = [decode_packed(x.as_py() or b"", tokens) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
 
     return small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))

@@ -198,7 +198,7 @@ def segment_median(logp: np.ndarray) -> float:
 
 
 _TABLES: dict[str, dict[str, np.ndarray]] = {}
-_WORDS = BoundedMemo(lambda w: xxhash.xxh3_64_intdigest(w), 200_000)
+_WORDS = BoundedMemo(lambda w: xxhash.xxh3_64_intdigest(w), 120_000)
 
 
 def base_counts(text: str, raw: bytes) -> tuple[int, int, int, int, int]:

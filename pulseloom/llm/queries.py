@@ -24,8 +24,7 @@ def vocabulary(spark: SparkSession) -> bpe.Vocabulary:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = vocabulary(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, words).drop("text")
-    return bpe.decode(ids, words).select(
+    return bpe.encode(docs, words, decoded="decoded").select(
         "doc_id",
         (F.octet_length("ids_packed") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids_packed", 256).alias("ids_sha256"),

@@ -42,7 +42,7 @@ BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 #: Bounds of the training sample.
 SAMPLE_DOCS, WINDOWS, REACH = 20_000, 1_000, 10
 STEPS, RATE, L2 = 60, 0.5, 1e-3
-WORDS_KEPT = 180_000
+WORDS_KEPT = 120_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
