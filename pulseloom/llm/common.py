@@ -78,12 +78,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 BATCH_ROWS = 1_000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; from now on its session sends texts to workers in batches of at most BATCH_ROWS rows."""
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df``; from now on its session sends texts to workers in batches of at most ``rows`` rows."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(conf.get(name, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    if now <= 0 or now > rows:
+        conf.set(name, str(rows))
     return df
 
 

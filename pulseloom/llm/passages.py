@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import mix64, shuffle_partitions, store
+from pulseloom.llm.common import mix64, shuffle_partitions, small_batches, store
 from pulseloom.llm.suffixes import suffix_order
 
 LENGTH, GRAM = 100, 32
 #: Bytes that are hashed at once, and bytes and strings that are suffix-sorted at once (whole anchors).
-PIECE, CHUNK, ROWS = 1 << 20, 48_000, 40_000
+PIECE, CHUNK, ROWS = 1 << 19, 48_000, 20_000
+#: Rows of a batch of documents: a worker holds a batch's texts and its segments' bytes.
+DOCUMENTS = 2_000
 _POSITION = np.uint64(24)  # bits of a position in a piece; the rest are the hash's
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MULTIPLIER = 0xD1342543DE82EF95
@@ -147,7 +149,7 @@ def segment_rows(docs: DataFrame) -> DataFrame:
             key = np.where(settled, mix64(doc.view(np.uint64)), key)
             yield _batch(key=key.view(np.int64), seg=seg.view(np.int64), doc=doc, at=at, settled=settled)
 
-    return docs.mapInArrow(run, "key long, seg long, doc long, at long, settled boolean")
+    return small_batches(docs, DOCUMENTS).mapInArrow(run, "key long, seg long, doc long, at long, settled boolean")
 
 
 def _once(*columns: np.ndarray) -> np.ndarray:
@@ -191,7 +193,7 @@ def settle(rows: DataFrame) -> DataFrame:
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "seg", "doc", "at")
 
     def run(batches):  # noqa: ANN001, ANN202
-        for table in _runs(batches, ["key", "seg", "doc", "at", "settled"], "key", 200_000):
+        for table in _runs(batches, ["key", "seg", "doc", "at", "settled"], "key", 100_000):
             key, seg, doc, at, settled = (table.column(c).to_numpy() for c in ("key", "seg", "doc", "at", "settled"))
             once = settled | _once(key, seg, doc, at)
             key, seg, doc, at, settled = key[once], seg[once], doc[once], at[once], settled[once]
