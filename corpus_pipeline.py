@@ -38,11 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
     words = queries.vocabulary(spark)
-    coded = bpe.encode(docs, words, decoded="decoded")
-    return coded.select(
-        "doc_id", "lang", "source", "n_chars", (F.octet_length("ids_packed") / 4).cast("long").alias("n_tokens"), "ids_packed",
-        (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"),
-    )
+    coded = bpe.encode(docs, words, verified="round_trip")
+    return coded.select("doc_id", "lang", "source", "n_chars", (F.octet_length("ids_packed") / 4).cast("long").alias("n_tokens"), "ids_packed", "round_trip")
 
 
 STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("secret scans", secret_scan), ("mixing", mix_sources), ("tokens", tokens)]

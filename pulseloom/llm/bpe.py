@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseloom.llm.common import MASK64, BoundedMemo, claim, small_batches
+from pulseloom.llm.common import MASK64, BoundedMemo, claim, released, small_batches
 
 _GOLD, _ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Pre-tokens that a worker remembers, and the longest one that it does.
@@ -252,27 +252,35 @@ def _share(spark: SparkSession, vocabulary: Vocabulary) -> _Shared:
     return _Shared(spark.sparkContext.broadcast(vocabulary), key)
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids_packed", decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids_packed", decoded: str | None = None, verified: str | None = None) -> DataFrame:
     """``df`` with ``out`` (binary): the ids of ``text`` as little-endian unsigned 32-bit integers.
 
     Packed ids are what training shards store; ``unpack_ids`` gives them as an array. With
-    ``decoded``, the ids are also decoded, in the same worker, into that column (binary).
-    Raises if a new column's name is taken.
+    ``decoded``, the ids are also decoded, in the same worker, into that column (binary); with
+    ``verified``, that column (boolean) says whether they decode to the text's bytes, and no second
+    text leaves the worker. Raises if a new column's name is taken.
     """
-    new = [out] if decoded is None else [out, decoded]
+    fields = [T.StructField(out, T.BinaryType())]
+    fields += [T.StructField(name, kind) for name, kind in ((decoded, T.BinaryType()), (verified, T.BooleanType())) if name is not None]
+    new = [f.name for f in fields]
     if clash := set(new) & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} exist")
     shared, at = _share(df.sparkSession, vocabulary), df.columns.index(text)
 
     def run(batches):  # noqa: ANN001, ANN202
         encoder = _encoder(shared)
-        for batch in batches:
-            added = [[encoder.packed(x.as_py() or "") for x in batch.column(at)]]
+        tokens = encoder.vocabulary.tokens
+        for batch in released(batches):
+            texts = [x.as_py() or "" for x in batch.column(at)]
+            ids = [encoder.packed(x) for x in texts]
+            added = [pa.array(ids, pa.binary())]
             if decoded is not None:
-                added.append([decode_packed(x, encoder.vocabulary.tokens) for x in added[0]])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.binary()) for x in added)], names=[*batch.schema.names, *new])
+                added.append(pa.array([decode_packed(x, tokens) for x in ids], pa.binary()))
+            if verified is not None:
+                added.append(pa.array([decode_packed(x, tokens) == t.encode() for x, t in zip(ids, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *new])
 
-    return small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(x, T.BinaryType()) for x in new)]))
+    return small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
 def decode_packed(packed: bytes, tokens: dict[int, bytes]) -> bytes:

@@ -6,9 +6,10 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 MASK64 = (1 << 64) - 1
@@ -74,19 +75,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-#: Rows of a batch that goes to a worker: texts may be long, and a batch is held about three times.
-BATCH_ROWS = 1_000
+#: Rows and bytes of a batch that goes to a worker: texts may be long, and a batch is held about three times on both sides.
+BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 20
 
 
-def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """``df``; from now on its session sends texts to workers in batches of at most ``rows`` rows."""
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """``df``; from now on its session sends texts to workers in batches of at most ``rows`` rows that
+    end with the row that reaches ``size`` bytes."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(conf.get(name, "10000"))
     if now <= 0 or now > rows:
         conf.set(name, str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow keeps of a batch's memory goes back to the system once it has been dealt with."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(32))

@@ -62,6 +62,8 @@ def test_bpe(spark, docs, empty, vocabulary):
         t = r.text or ""
         assert list(r.ids) == enc.encode_ordinary(t) and bytes(r.decoded).decode() == t
     assert all(bytes(r.back).decode() == (r.text or "") for r in bpe.encode(docs, vocabulary, decoded="back").collect())
+    assert all(r.same for r in bpe.encode(docs, vocabulary, verified="same").collect())
+    assert bpe.encode(empty, vocabulary, verified="same").count() == 0
     assert bpe.encode(empty, vocabulary).count() == 0
     e = bpe.Encoder(vocabulary)
     newer = [c for c in map(chr, range(0x500, 0xD000)) if e.newer is not None and e.newer.search(c)]
