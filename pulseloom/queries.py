@@ -582,6 +582,31 @@ def _(spark, sf):
     return surrogates.trial_shifting(unit_trains(spark, sf), 2 * HOUR, DAY_US, 2)
 
 
+@query("surrogate_dither_refractory")
+def _(spark, sf):
+    return surrogates.dither_refractory(event_trains(spark, sf), HOUR, HOUR // 60, 0, SPAN_US, 2)
+
+
+@query("surrogate_bin_shuffling_continuous", f"WITH {_COPIES}, e AS (SELECT surrogate, train_id, t_us // {HOUR} // 12 AS w, t_us // {HOUR} % 12 AS slot, {_U} AS u FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY surrogate, train_id, w ORDER BY ('0x' || substr(md5('0:' || surrogate || ':' || train_id || ':' || w || ':' || slot), 1, 8))::BIGINT, slot) - 1 AS to_slot FROM (SELECT DISTINCT surrogate, train_id, w FROM e), range(0, 12) AS r(slot)), d AS (SELECT surrogate::INT AS surrogate, train_id, ((w * 12 + to_slot) * {HOUR} + floor(u * {HOUR}))::BIGINT AS t_us FROM e JOIN p USING (surrogate, train_id, w, slot)) SELECT * FROM d WHERE t_us > 0 AND t_us < {SPAN_US}")
+def _(spark, sf):
+    return surrogates.bin_shuffling_continuous(event_trains(spark, sf), HOUR, 12, 0, SPAN_US, 2)
+
+
+@query("surrogate_bin_shuffling_sliding")
+def _(spark, sf):
+    return surrogates.bin_shuffling_sliding(hourly(spark, sf).counts, 12, HOURS, 2)
+
+
+@query("surrogate_trial_shifting_of_one", f"WITH {_COPIES}, e AS (SELECT surrogate, train_id, t_us // {DAY_US} AS trial, t_us % {DAY_US} AS t FROM c), d AS (SELECT surrogate, train_id, trial, (t + floor((2 * (('0x' || substr(md5('0:' || surrogate || ':' || trial || ':' || train_id), 1, 8))::BIGINT / 4294967296.0) - 1) * {2 * HOUR}))::BIGINT AS x FROM e WHERE t <= {20 * HOUR} AND trial < {SPAN_US // DAY_US}) SELECT surrogate::INT AS surrogate, train_id, (x % {20 * HOUR} + {20 * HOUR}) % {20 * HOUR} + trial * {DAY_US} AS t_us FROM d")
+def _(spark, sf):
+    return surrogates.shift_trials_of_one(event_trains(spark, sf), 2 * HOUR, 20 * HOUR, 4 * HOUR, 0, SPAN_US, 2)
+
+
+@query("surrogate_joint_isi")
+def _(spark, sf):
+    return surrogates.joint_isi_dithering(event_trains(spark, sf), 12 * HOUR, SPAN_US, 240 * HOUR, 60, 4 * HOUR, HOUR // 60, n=2)
+
+
 @query("joint_isi_histogram", f"WITH {ISI}, p AS (SELECT isi_us // {HOUR} AS a, lead(isi_us) OVER (PARTITION BY train_id ORDER BY i) // {HOUR} AS b FROM isi) SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL AND a < 50 AND b < 50 GROUP BY ALL")
 def _(spark, sf):
     return surrogates.joint_isi_histogram(event_trains(spark, sf), HOUR, 50)

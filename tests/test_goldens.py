@@ -128,6 +128,42 @@ def test_surrogates_keep_counts(spark):
         surrogates.surrogates(spikes, "dither_spikes")
 
 
+def test_surrogates_by_train(spark):
+    rng = np.random.default_rng(4)
+    times = [np.cumsum(0.005 + rng.exponential(0.03, 200)), [1.0, 2.0], np.cumsum(0.005 + rng.exponential(0.03, 100))]
+    stop = 20_000_000
+    spikes, _ = trains(spark, *times, stop=stop)
+    before = {k: np.array([round(x * 1e6) for x in ts]) for k, ts in enumerate(times)}
+
+    def after(df):
+        rows = df.toPandas().sort_values("t_us")
+        return {k: g["t_us"].to_numpy() for k, g in rows.groupby(["surrogate", "train_id"])}
+
+    moved = after(surrogates.dither_refractory(spikes, 15_000, 4_000, 0, stop, 2))
+    for (_, k), t in moved.items():
+        assert len(t) == len(before[k]) and np.abs(t - before[k]).max() <= 15_000 and np.diff(t).min() >= 4_000 and t[0] >= 0 and t[-1] <= stop
+    assert (moved[0, 0] != moved[1, 0]).any() and (moved[0, 0] != before[0]).any()
+    for method in ("joint_isi_dithering", "isi_dithering"):
+        moved = after(surrogates.surrogates(spikes, method, 2, 15_000, 0, stop))
+        for (_, k), t in moved.items():
+            assert len(t) == len(before[k]) and t[0] == before[k][0] and abs(t[-1] - before[k][-1]) <= 1
+            assert np.abs(t - before[k]).max() <= 2 * 15_000 + 1 and (len(t) < 3 or np.diff(t).min() >= 0)
+        assert (moved[0, 1] == before[1]).all() and (moved[0, 0] != moved[1, 0]).any()
+    whole = after(surrogates.joint_isi_dithering(spikes, window=False, alternate=False))
+    assert len(whole[0, 0]) == 200 and np.diff(whole[0, 0]).min() >= 0
+    counts = spikes.select("train_id", F.floor(F.col("t_us") / 100_000).cast("long").alias("bin")).groupBy("train_id", "bin").agg(F.count("*").alias("n"))
+    filled = counts.groupBy("train_id").count().collect()
+    slid = surrogates.bin_shuffling_sliding(counts, 5, 200).groupBy("train_id").count().collect()
+    assert sorted(map(tuple, slid)) == sorted(map(tuple, filled))
+
+
+def test_smoothing_keeps_mass():
+    x = np.random.default_rng(0).random((30, 30))
+    y = surrogates.smoothed(x, 2.0)
+    assert y.shape == x.shape and y.sum() == pytest.approx(x.sum()) and y.std() < x.std()
+    assert surrogates.smoothed(np.eye(1), 3.0) == pytest.approx(np.eye(1))
+
+
 def test_parseval_and_filters():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((1, 256))
