@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bpe, mixing, quality, queries, secrets, simhash
+from pulseloom.llm import bpe, mixing, near_copies, quality, queries, secrets
 from pulseloom.llm.common import store, table
 
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies."""
-    return simhash.keep_first(docs)
+    """The document of the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_copies.keep_first(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
