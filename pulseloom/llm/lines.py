@@ -1,4 +1,4 @@
-"""Substring dedup by hashing units: lines, paragraphs, or lines cut further at sentence ends.
+"""Substring dedup by hashing units: lines, paragraphs, lines cut further at sentence ends, or lines and sentences.
 
 Each unit is normalised (lower case, white space collapsed), hashed to 128 bits and grouped over
 all documents; the occurrence of the smallest (document, offset) stays, all others are removed.
@@ -10,7 +10,8 @@ of all documents hold) adaptive execution splits. Each document's spans are as m
 The units are hashed twice rather than stored.
 
 Defined results: null and empty texts have no units and stay empty; units of fewer than ``least_words``
-words are never removed; rows that share a key count as one document, and each gets its row; an
+words are never removed (whole lines of any length are, where the unit is ``BOTH``); rows that share a key
+count as one document, and each gets its row; an
 empty table gives an empty table; other columns pass through.
 """
 
@@ -30,10 +31,15 @@ from pulseloom.llm.common import small_batches
 #: What separates units; a unit keeps its end mark but not the separator.
 SEPARATORS = {"line": re.compile(r"\n+"), "paragraph": re.compile(r"\n[ \t]*\n\s*"), "sentence": re.compile(r"(?<=[.!?])[ \t]+|\n+")}
 LEAST_WORDS = 6
+#: Whole lines of any length, and their sentences of LEAST_WORDS or more as a finer unit.
+BOTH = "lines_and_sentences"
 
 
 def units_of(text: str, unit: str = "sentence", least_words: int = LEAST_WORDS) -> list[tuple[int, int, str]]:
     """(start, end, normal form) of the units that can be removed."""
+    if unit == BOTH:
+        found = {(a, b): n for u, least in (("line", 1), ("sentence", least_words)) for a, b, n in units_of(text, u, least)}
+        return [(a, b, n) for (a, b), n in sorted(found.items())]
     out, at = [], 0
     for start, end in [*(m.span() for m in SEPARATORS[unit].finditer(text)), (len(text), len(text))]:
         words = text[at:start].lower().split()
@@ -72,6 +78,17 @@ def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", unit:
     return units.join(first, ["d1", "d2"]).where(F.struct("key", "start") != F.col("first")).select(F.col("key").alias(key), "start", "stop")
 
 
+def merged(spans: list[dict]) -> list[dict]:
+    """Sorted spans, without those that lie in a larger one (a sentence of a removed line)."""
+    out: list[dict] = []
+    for s in spans:
+        if out and s["start"] < out[-1]["stop"]:
+            out[-1] = {"start": out[-1]["start"], "stop": max(s["stop"], out[-1]["stop"])}
+        else:
+            out.append(s)
+    return out
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
     """``df`` with ``removed`` (array of (start, stop) in the original text, sorted) and ``kept_text``."""
     if clash := {"removed", "kept_text"} & set(df.columns):
@@ -82,9 +99,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", unit:
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            out = []
+            out, outer = [], []
             for cell, spans in zip(batch.column(at), batch.column(by), strict=True):
-                spans, t = spans.as_py(), cell.as_py()
+                spans, t = merged(spans.as_py()), cell.as_py()
+                outer.append(spans)
                 if spans:
                     parts, done = [], 0
                     for s in spans:
@@ -92,6 +110,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", unit:
                         done = s["stop"]
                     t = "".join([*parts, t[done:]])
                 out.append(t)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "kept_text"])
+            columns = [pa.array(outer, c.type) if k == by else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string())], names=[*batch.schema.names, "kept_text"])
 
     return joined.mapInArrow(run, T.StructType([*joined.schema.fields, T.StructField("kept_text", T.StringType())]))
