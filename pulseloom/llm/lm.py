@@ -50,6 +50,37 @@ def ngram_hashes(text: str, order: int) -> list[np.ndarray]:
     return out
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted distinct hashes: low bytes as they are, the rest as gaps in unary."""
+    n, span = len(keys), int(keys[-1] - keys[0])
+    low = min(range(1, 8), key=lambda k: n * k + ((span >> (8 * k)) + n) / 8)
+    x = keys - keys[0]
+    marks = np.zeros((span >> (8 * low)) + n, np.uint8)
+    marks[(x >> np.uint64(8 * low)).astype(np.int64) + np.arange(n)] = 1
+    head = np.array([keys[0], n, low], "<u8").tobytes()
+    return head + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(n, 8)[:, :low]).tobytes() + np.packbits(marks).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    first, n, low = (int(v) for v in np.frombuffer(raw, "<u8", 3))
+    x = np.zeros((n, 8), np.uint8)
+    x[:, :low] = np.frombuffer(raw, np.uint8, n * low, 24).reshape(n, low)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, -1, 24 + n * low)))[:n] - np.arange(n)
+    return x.reshape(-1).view("<u8") + (high.astype(np.uint64) << np.uint64(8 * low)) + np.uint64(first)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 or more are 255 there and follow whole."""
+    large = counts[counts >= 255].astype("<u8")
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def unpacked_counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", -1, n)
+    return out
+
+
 def group_counts(texts: list[str], order: int) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray]:
     """Each text's hashes, and the group's sorted distinct hashes of all orders with their counts."""
     claim("lm", _MEMO.clear)
@@ -88,7 +119,7 @@ def text_scores(per: list[list[np.ndarray]], keys: np.ndarray, totals: np.ndarra
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
-    """(key, n_words, log10_score, mean_log10_score) of each row."""
+    """(key, n_words, log10_score, mean_log10_score) of each row; the registered query takes order 3."""
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -119,25 +150,24 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2
         return pa.table(
             {
                 "g": pa.array([g] * len(b), pa.int32()), "bucket": pa.array(b, pa.int32()),
-                "hashes": pa.array([keys[at[k] : at[k + 1]].tobytes() for k in b], pa.binary()), "counts": pa.array([counts[at[k] : at[k + 1]].astype("<u4").tobytes() for k in b], pa.binary()),
+                "hashes": pa.array([packed(keys[at[k] : at[k + 1]]) for k in b], pa.binary()), "counts": pa.array([packed_counts(counts[at[k] : at[k + 1]]) for k in b], pa.binary()),
             }
         )
 
     def answer(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x.as_py(), "<u8") for x in table.column("hashes")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")]).astype(np.int64)
+        hashes = [unpacked(x.as_py()) for x in table.column("hashes")]
+        counts = np.concatenate([unpacked_counts(x.as_py(), len(h)) for x, h in zip(table.column("counts"), hashes, strict=True)])
         joined = np.concatenate(hashes)
         keys, inverse = np.unique(joined, return_inverse=True)
         totals = np.bincount(inverse, counts, len(keys)).astype(np.int64)[inverse]
         parts = np.split(totals, np.cumsum([len(h) for h in hashes])[:-1])
-        return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "totals": pa.array([p.astype("<i8").tobytes() if p.max() > 0xFFFFFFFF else p.astype("<u4").tobytes() for p in parts], pa.binary())})
+        return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "totals": pa.array([packed_counts(p) for p in parts], pa.binary())})
 
     def sum_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
         per, keys, _ = group_counts(texts.column("text").to_pylist(), order)
         at, totals = cuts(keys), np.zeros(len(keys), np.int64)
         for b, raw in zip(answers.column("bucket").to_pylist(), answers.column("totals"), strict=True):
-            x, n = raw.as_py(), int(at[b + 1] - at[b])
-            totals[at[b] : at[b + 1]] = np.frombuffer(x, "<u4" if len(x) == 4 * n else "<i8")
+            totals[at[b] : at[b + 1]] = unpacked_counts(raw.as_py(), int(at[b + 1] - at[b]))
         found = text_scores(per, keys, totals, words)
         return pa.table({"key": texts.column("key"), "n_words": pa.array([n for n, _ in found], pa.int64()), "log10_score": pa.array([s for _, s in found], pa.float64())})
 

@@ -64,7 +64,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lm.score(table(spark, sf_dir, "documents"))
+    found = lm.score(table(spark, sf_dir, "documents"), order=3)
     return found.select("doc_id", "n_words", F.round("log10_score", 6).alias("log10_score"), F.round("mean_log10_score", 6).alias("mean_log10_score"))
 
 
