@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import re
-import struct
+import sys
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,7 +36,7 @@ from pulseloom.llm.common import MASK64, BoundedMemo, claim, released, small_bat
 
 _GOLD, _ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Pre-tokens that a worker remembers, and the longest one that it does.
-MEMO_ENTRIES, MEMO_CHARS = 220_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 500_000, 64
 
 
 def _slot(high: int, d: int, n: int) -> int:
@@ -46,7 +48,7 @@ class PerfectHash:
     """Minimal perfect hash (hash and displace): key -> slot in 0..n-1, bijective on the keys."""
 
     n: int
-    displacement: np.ndarray
+    displacement: list[int]
     keys: list[bytes] = field(repr=False)  # by slot
     values: list[int] = field(repr=False)  # by slot
 
@@ -93,25 +95,23 @@ class PerfectHash:
         keys, values = [b""] * n, [0] * n
         for name, slot in zip(names, slot_of.tolist(), strict=True):
             keys[slot], values[slot] = name, table[name]
-        return cls(n, displacement, keys, values)
+        return cls(n, displacement.tolist(), keys, values)
 
     def get(self, key: bytes) -> int | None:
         """The value of a key, or None for what is not a key (the stored key decides)."""
         digest = xxhash.xxh3_128_intdigest(key)
-        d = int(self.displacement[(digest & MASK64) % len(self.displacement)])
+        d = self.displacement[(digest & MASK64) % len(self.displacement)]
         slot = -d - 1 if d < 0 else _slot(digest >> 64, d, self.n)
         return self.values[slot] if self.keys[slot] == key else None
 
 
 @dataclass
 class Vocabulary:
-    """Ranks, split pattern and the characters that the pattern's classes must not count as letters or numbers."""
+    """Ranks, tokens by id and the split pattern."""
 
     hash: PerfectHash
     tokens: dict[int, bytes] = field(repr=False)
     pattern: str
-    newer_letters: str = ""
-    newer_numbers: str = ""
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, pattern: str) -> Vocabulary:
@@ -126,30 +126,41 @@ class Vocabulary:
 
     @classmethod
     def of(cls, ranks: dict[bytes, int], pattern: str) -> Vocabulary:
-        return cls(PerfectHash.build(ranks), {v: k for k, v in ranks.items()}, pattern, *_newer_characters())
+        return cls(PerfectHash.build(ranks), {v: k for k, v in ranks.items()}, pattern)
 
 
-def _newer_characters() -> tuple[str, str]:
-    r"""Characters that the local ``regex`` counts under \p{L} and \p{N} and tiktoken's older Unicode
-    tables do not (empty where they agree), as the inside of a character class."""
+#: Ranges of characters that are letters in Unicode 17 but not in 16, which tiktoken's tables follow.
+NEWER_LETTERS = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959),
+    (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+#: The same of numbers.
+NEWER_NUMBERS = [
+    (0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6),
+]
+
+
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+_CONTROL = re.compile("[\x1c-\x1f]")
+#: What the standard library's classes do not treat as the pattern's do: texts without such characters take its faster engine.
+_UNUSUAL = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u20ac]")
+
+
+def _plain_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern in the standard library's classes, or None where it holds others."""
+    p = re.sub(r"\[\^((?:\\[srn])*)\\p\{L\}\\p\{N\}\]", r"(?:[^\1\\w]|_)", pattern)
+    p = p.replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
     try:
-        import tiktoken
-    except ImportError:
-        return "", ""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    out = []
-    for name in (r"\p{L}", r"\p{N}"):
-        probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-        known = set(bytes(probe.encode_ordinary(every)).decode())
-        runs: list[list[int]] = []
-        for c in map(ord, regex.findall(name, every)):
-            if chr(c) not in known:
-                if runs and runs[-1][1] == c - 1:
-                    runs[-1][1] = c
-                else:
-                    runs.append([c, c])
-        out.append("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs))
-    return out[0], out[1]
+        return None if r"\p" in p else re.compile(p)
+    except re.error:
+        return None
 
 
 class Encoder:
@@ -157,64 +168,71 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary, self.rank = vocabulary, vocabulary.hash.get
-        self.split = regex.compile(vocabulary.pattern)
-        letters, numbers = vocabulary.newer_letters, vocabulary.newer_numbers
-        self.newer = re.compile(f"[{letters}{numbers}]") if letters or numbers else None
-        exact = vocabulary.pattern.replace(r"[^\s\p{L}\p{N}]", "[^\\s\\p{L}\\p{N}]" if self.newer is None else f"[[^\\s\\p{{L}}\\p{{N}}]||[{letters}{numbers}]]")
-        if letters:
-            exact = re.sub(r"(?<!\[\^\\s)\\p\{L\}(?!\\p\{N\}\])", lambda _: f"[\\p{{L}}--[{letters}]]", exact)
-        if numbers:
-            exact = re.sub(r"(?<!\\p\{L\})\\p\{N\}(?!\])", lambda _: f"[\\p{{N}}--[{numbers}]]", exact)
+        self.split, self.plain_split = regex.compile(vocabulary.pattern), _plain_pattern(vocabulary.pattern)
+        letters, numbers = _class(NEWER_LETTERS), _class(NEWER_NUMBERS)
+        self.newer = re.compile(f"[{letters}{numbers}]")
+        exact = vocabulary.pattern.replace(r"[^\s\p{L}\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{letters}{numbers}]]")
+        exact = re.sub(r"(?<!\[\^\\s)\\p\{L\}(?!\\p\{N\}\])", lambda _: f"[\\p{{L}}--[{letters}]]", exact)
+        exact = re.sub(r"(?<!\\p\{L\})\\p\{N\}(?!\])", lambda _: f"[\\p{{N}}--[{numbers}]]", exact)
         self.exact_split = regex.compile("(?V1)" + exact)
-        self.tail, self.joined = self._merge_table()
+        self.single, self.first, self.joined = self._merge_table()
         self.memo = BoundedMemo(self._piece, MEMO_ENTRIES)
 
     def pieces(self, text: str) -> list[str]:
-        if self.newer is not None and not text.isascii() and self.newer.search(text):
+        if self.plain_split is not None and (text.isascii() and not _CONTROL.search(text) or not _UNUSUAL.search(text)):
+            return self.plain_split.findall(text)
+        if self.newer.search(text):
             return self.exact_split.findall(text)
         return self.split.findall(text)
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.rank(raw)
-        ids = [whole] if whole is not None else self.merge(raw)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", self.merge(raw) if whole is None else (whole,)).tobytes()
 
-    def _merge_table(self) -> tuple[list[int], dict[int, int]]:
-        """Ids of the 256 bytes, and for each way to cut a token into two tokens, left id << 32 | right id -> its id."""
+    def _merge_table(self) -> tuple[list[int], list[int], dict[int, int]]:
+        """Ids of the 256 bytes, ids of all two bytes (-1 where they are no token), and for each way to cut
+        a token into two tokens, left id << 32 | right id -> its id."""
         ids = {raw: i for i, raw in self.vocabulary.tokens.items()}
         joined = {}
         for raw, i in ids.items():
             for cut in range(1, len(raw)):
                 if (left := ids.get(raw[:cut])) is not None and (right := ids.get(raw[cut:])) is not None:
                     joined[left << 32 | right] = i
-        return [ids[bytes([b])] for b in range(256)], joined
+        return [ids[bytes([b])] for b in range(256)], [ids.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], joined
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of a byte string that is not itself a token: a heap over linked bytes.
 
-        Heap entries are rank << 40 | position, so the lowest rank comes first and then the leftmost.
-        An entry is stale unless the nodes now at its position still join to its rank."""
-        n, joined = len(raw), self.joined.get
-        ids = list(map(self.tail.__getitem__, raw))
-        heap = [r << 40 | i for i in range(n - 1) if (r := joined(ids[i] << 32 | ids[i + 1])) is not None]
+        Heap entries are rank << 40 | position, so the lowest rank comes first and then the leftmost. An
+        entry is stale unless its rank is the one that waits at its position."""
+        single, first, get, pop, push = self.single, self.first, self.joined.get, heapq.heappop, heapq.heappush
+        waits = [first[a << 8 | b] for a, b in itertools.pairwise(raw)]
+        ids = [single[b] for b in raw]
+        heap = [r << 40 | i for i, r in enumerate(waits) if r >= 0]
         heapq.heapify(heap)
+        n = len(raw)
+        waits.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pop, push = heapq.heappop, heapq.heappush
         while heap:
             top = pop(heap)
             i, rank = top & 0xFFFFFFFFFF, top >> 40
-            j = after[i]
-            if ids[i] < 0 or j >= n or joined(ids[i] << 32 | ids[j]) != rank:
+            if waits[i] != rank:
                 continue
-            ids[i], ids[j] = rank, -1
-            j = after[i] = after[j]
-            if j < n:
-                before[j] = i
-                if (r := joined(rank << 32 | ids[j])) is not None:
+            j = after[i]
+            k = after[i] = after[j]
+            ids[i], ids[j], waits[j] = rank, -1, -1
+            if k < n:
+                before[k] = i
+                r = waits[i] = get(rank << 32 | ids[k], -1)
+                if r >= 0:
                     push(heap, r << 40 | i)
-            if (p := before[i]) >= 0 and (r := joined(ids[p] << 32 | rank)) is not None:
-                push(heap, r << 40 | p)
+            else:
+                waits[i] = -1
+            if (p := before[i]) >= 0:
+                r = waits[p] = get(ids[p] << 32 | rank, -1)
+                if r >= 0:
+                    push(heap, r << 40 | p)
         return [i for i in ids if i >= 0]
 
     def packed(self, text: str) -> bytes:
@@ -248,7 +266,7 @@ class _Shared:
 
 
 def _share(spark: SparkSession, vocabulary: Vocabulary) -> _Shared:
-    key = xxhash.xxh3_64_intdigest(repr((vocabulary.pattern, vocabulary.hash.n, vocabulary.hash.keys[:50])).encode())
+    key = xxhash.xxh3_64_intdigest(repr((vocabulary.pattern, vocabulary.hash.keys, vocabulary.hash.values)).encode())
     return _Shared(spark.sparkContext.broadcast(vocabulary), key)
 
 
@@ -284,7 +302,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str =
 
 
 def decode_packed(packed: bytes, tokens: dict[int, bytes]) -> bytes:
-    return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+    return b"".join(map(tokens.__getitem__, memoryview(packed).cast("I") if sys.byteorder == "little" else np.frombuffer(packed, "<u4").tolist()))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids_packed", out: str = "decoded") -> DataFrame:

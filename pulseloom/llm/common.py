@@ -118,15 +118,25 @@ def claim(owner: str, release: Callable[[], None]) -> None:
 
 
 class BoundedMemo(dict):
-    """A dictionary that computes what it misses and starts anew once it is full."""
+    """A dictionary that computes what it misses, in two generations of ``limit // 2`` entries.
+
+    Once the younger one is full it becomes the older, whose entries move back when they are asked for
+    again: what is frequent stays, what is rare goes."""
 
     def __init__(self, compute: Callable, limit: int) -> None:
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.older = compute, max(1, limit // 2), {}
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
 
     def __missing__(self, key):  # noqa: ANN001, ANN204
-        value = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
-            self.clear()
+            self.older = dict(self)
+            super().clear()
         self[key] = value
         return value
