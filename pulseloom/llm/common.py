@@ -11,8 +11,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
+#: Stands for a null key where an integer is needed.
+NULL_ID = -(1 << 63)
 
 #: White space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -24,7 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests) a temporary one."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a temporary one on a single machine (tests).
+
+    Raises on a cluster without that setting: its machines share no other folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if not spark.sparkContext.getCheckpointDir():
@@ -32,6 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pulseloom-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -66,6 +73,20 @@ def _drop_stored(spark: SparkSession) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def documents(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, doc, text) of the rows of ``df``: doc is a long that orders documents, null texts are empty.
+
+    A document is a key and a text. Where every key has one text, doc is the key (NULL_ID where it is null). Where
+    a key has several, all are numbered in the order of their keys and then of a hash of their texts."""
+    docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    marked = docs.select("doc", F.xxhash64("text").alias("mark"))
+    if marked.groupBy("doc").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").isEmpty():
+        return docs
+    # Numbers rise with the partitions of a sorted table, which are ranges.
+    ranks = store(marked.distinct().orderBy("doc", "mark").withColumn("rank", F.monotonically_increasing_id()))
+    return docs.withColumn("mark", F.xxhash64("text")).join(ranks, ["doc", "mark"]).select("key", F.col("rank").alias("doc"), "text")
+
+
 def scratch_name(tag: str) -> str:
     """A column name that no input column has."""
     return f"__{tag}_{uuid.uuid4().hex[:8]}"

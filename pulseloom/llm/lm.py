@@ -7,18 +7,22 @@ merging sorted arrays, and sends them back to the groups. There each document's
 counts, less the document's own, and the scores are summed per document.
 
 A group asks once for an n-gram however many of its documents hold it, so a word that is in every
-document costs one row a group, and partitions are even. Texts are shuffled once. Nothing but two sums
-(bytes and words) reaches the driver.
+document costs one entry a group, and partitions are even. The hashes that a group sends to one range of
+the table travel as one row, in packed form; rows are never more than distinct n-grams, whatever the size.
+Texts are shuffled once. Nothing but two sums (bytes and words) reaches the driver.
 
 score of a word = c(n-gram) / c(its first n - 1 words) for the longest n-gram with c > 0, times
 ALPHA for each shorter step; a word that no other document has gets 1 / (words of others + 1).
 
-Defined results: null and empty texts have no words and a null mean; a key's repeated rows are documents of
-their own; an empty table gives an empty table; columns other than key and text are not looked at.
+Defined results: null and empty texts have no words and a null mean; rows that share a key (nulls too) are documents
+of their own; an empty table gives an empty table; columns other than key and text are not looked at. A group
+is held in a task's memory: GROUP_BYTES of text, or one text if that is longer.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -134,23 +138,23 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2
     size, words = docs.select("text").mapInArrow(sizes, "b long, w long").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     groups = max(1, -(-size // GROUP_BYTES))
     buckets = max(1, -(-words * order // PARTITION_NGRAMS))
-    shift = np.uint64(64 - 20)  # buckets are ranges of the hash's top 20 bits
-    dealt = docs.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
+    # By key and text: rows that share a key (nulls, say) are spread like any others.
+    dealt = docs.withColumn("g", F.pmod(F.xxhash64("key", "text"), F.lit(groups)).cast("int"))
 
-    def cuts(keys: np.ndarray) -> np.ndarray:
-        """Where each bucket starts in sorted hashes."""
-        at = (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(20)) // np.uint64(buckets)
-        return np.searchsorted(keys >> shift, at)
+    def cells(keys: np.ndarray) -> tuple[list[int], list[int]]:
+        """The buckets (ranges of the hash's upper half) that sorted hashes fall into, and where each starts and the last ends."""
+        b = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        at = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1]) if len(b) else np.empty(0, np.int64)
+        return b[at].tolist(), [*at.tolist(), len(b)]
 
     def request(table: pa.Table) -> pa.Table:
         _, keys, counts = group_counts(table.column("text").to_pylist(), order)
-        at = cuts(keys)
-        b = [k for k in range(buckets) if at[k] < at[k + 1]]
+        b, at = cells(keys)
         g = table.column("g")[0].as_py()
         return pa.table(
             {
-                "g": pa.array([g] * len(b), pa.int32()), "bucket": pa.array(b, pa.int32()),
-                "hashes": pa.array([packed(keys[at[k] : at[k + 1]]) for k in b], pa.binary()), "counts": pa.array([packed_counts(counts[at[k] : at[k + 1]]) for k in b], pa.binary()),
+                "g": pa.array([g] * len(b), pa.int32()), "bucket": pa.array(b, pa.int64()),
+                "hashes": pa.array([packed(keys[x:y]) for x, y in itertools.pairwise(at)], pa.binary()), "counts": pa.array([packed_counts(counts[x:y]) for x, y in itertools.pairwise(at)], pa.binary()),
             }
         )
 
@@ -165,13 +169,15 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2
 
     def sum_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
         per, keys, _ = group_counts(texts.column("text").to_pylist(), order)
-        at, totals = cuts(keys), np.zeros(len(keys), np.int64)
-        for b, raw in zip(answers.column("bucket").to_pylist(), answers.column("totals"), strict=True):
-            totals[at[b] : at[b + 1]] = unpacked_counts(raw.as_py(), int(at[b + 1] - at[b]))
+        b, at = cells(keys)
+        where, totals = dict(zip(b, itertools.pairwise(at), strict=True)), np.zeros(len(keys), np.int64)
+        for bucket, raw in zip(answers.column("bucket").to_pylist(), answers.column("totals"), strict=True):
+            x, y = where[bucket]
+            totals[x:y] = unpacked_counts(raw.as_py(), y - x)
         found = text_scores(per, keys, totals, words)
         return pa.table({"key": texts.column("key"), "n_words": pa.array([n for n, _ in found], pa.int64()), "log10_score": pa.array([s for _, s in found], pa.float64())})
 
-    requests = dealt.groupBy("g").applyInArrow(request, "g int, bucket int, hashes binary, counts binary")
-    answers = requests.groupBy("bucket").applyInArrow(answer, "g int, bucket int, totals binary")
+    requests = dealt.groupBy("g").applyInArrow(request, "g int, bucket long, hashes binary, counts binary")
+    answers = requests.groupBy("bucket").applyInArrow(answer, "g int, bucket long, totals binary")
     scored = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(sum_up, f"key {kind}, n_words long, log10_score double")
     return scored.select(F.col("key").alias(key), "n_words", "log10_score", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")).alias("mean_log10_score"))

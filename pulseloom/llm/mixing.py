@@ -12,6 +12,8 @@ where their counted number is under BROADCAST_CELLS; beyond it, an ordinary join
 which adaptive execution splits where a source is hot. The draw depends
 on the document's id and a seed only, so a lost executor's tasks give the same rows again.
 
+Raises if a new column's name (but ``topic``, which is taken as given) is there already.
+
 Defined results: null or empty values of a dimension form cells of their own (''), a null
 text has no tokens, and documents of cells without tokens have probability 0; rows that
 share an id share their draw. An empty table gives an empty table.
@@ -19,10 +21,12 @@ share an id share their draw. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import cut
+from pulseloom.llm.common import cut, scratch_name
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Cells that are broadcast to the documents (under 10 MB); more are joined by a shuffle.
@@ -79,8 +83,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
             w = w.withColumn("ratio", ratio).withColumn("weight", F.col("weight") * F.col("ratio")).withColumn(f"off_{d}", F.abs(F.col("ratio") - 1)).drop("ratio")
             off = F.col(f"off_{d}") if off is None else F.greatest(off, F.col(f"off_{d}"))
         w = cut(w)
-        if w.agg(F.max(off)).first()[0] < tolerance:
+        if (worst := w.agg(F.max(off)).first()[0]) < tolerance:
             break
+    else:
+        warnings.warn(f"raking stopped after {rounds} rounds, {worst:.2g} from its targets", stacklevel=2)
     return cells.join(w.select(*names, "weight"), names, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
@@ -98,6 +104,8 @@ def mix(
     its cell's tokens), ``probability``, ``draw`` and ``selected`` (draw < probability).
 
     Targets are given, or tempered: shares proportional to tokens ** temperature of each dimension."""
+    if clash := {"n_tokens", "weight", "probability", "draw", "selected"} & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} exist")
     temperature = temperature or {"source": 0.8, "lang": 0.8, "topic": 0.9}
     docs = df if "topic" in df.columns else df.withColumn("topic", topic_of(F.col(text)))
     docs = docs.withColumn("n_tokens", token_estimate(F.col(text)))
@@ -107,12 +115,13 @@ def mix(
     raked = cut(rake(cells, targets, tolerance, rounds).withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)))
     top = raked.agg(F.max("rate"), F.sum("weight"), F.count("*")).first()
     top_rate, total = float(top[0] or 1.0) or 1.0, float(top[1] or 1.0) or 1.0
+    names = {d: scratch_name(d) for d in DIMENSIONS}
     rates = raked.select(
-        *[F.col(d).alias(f"__{d}") for d in DIMENSIONS], (F.col("weight") / F.lit(total)).alias("weight"), (F.col("rate") / F.lit(top_rate)).alias("probability")
+        *[F.col(d).alias(names[d]) for d in DIMENSIONS], (F.col("weight") / F.lit(total)).alias("weight"), (F.col("rate") / F.lit(top_rate)).alias("probability")
     )
     if top[2] <= BROADCAST_CELLS:
         rates = F.broadcast(rates)
-    joined = docs.join(rates, [plain[d] == F.col(f"__{d}") for d in DIMENSIONS], "left")
+    joined = docs.join(rates, [plain[d] == F.col(names[d]) for d in DIMENSIONS], "left")
     joined = joined.withColumn("draw", uniform_draw(F.col(key), seed))
     return joined.select(*docs.columns, F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("probability", F.lit(0.0)).alias("probability"), "draw").withColumn(
         "selected", F.col("draw") < F.col("probability")

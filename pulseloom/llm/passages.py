@@ -18,9 +18,9 @@ same anchor form a segment. Equal windows have equal anchors at equal offsets. S
 
 Texts are shuffled once (the exchange is reused), nothing is collected or broadcast.
 
-Defined results: null and empty texts have no bytes; rows that share an id count as one document if
-their texts are equal (each row gets the result), and otherwise the id's windows are pooled; a null
-id is the smallest; an empty table gives an empty table; only the id and the text are looked at.
+Defined results: null and empty texts have no bytes; rows that share an id and a text count as one document
+(each row gets the result), and rows that share an id only are documents of their own, ordered by a hash of
+their texts; a null id is the smallest; an empty table gives an empty table; only the id and the text are looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import mix64, shuffle_partitions, small_batches, store
+from pulseloom.llm.common import documents, mix64, released, shuffle_partitions, small_batches, store
 from pulseloom.llm.suffixes import suffix_order
 
 LENGTH, GRAM = 100, 32
@@ -42,7 +42,6 @@ _POSITION = np.uint64(24)  # bits of a position in a piece; the rest are the has
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MULTIPLIER = 0xD1342543DE82EF95
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-NULL_ID = -(1 << 63)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -367,16 +366,17 @@ def _sorted_out(held: list[tuple[int, bytes]], first: dict) -> list[tuple[int, i
 def remove_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, removed, kept): removed is the array of maximal removed runs (start, stop) in bytes, kept
     the remaining bytes (removing may cut a character's bytes apart)."""
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = documents(df, key, text)
+    docs = named.select("doc", "text")
     found = store(settle(segment_rows(docs)))
     exact = found.where("removed").select("doc", F.shiftright("at", 16).alias("start"), F.shiftright("at", 8).bitwiseAND(F.lit(255)).alias("windows"))
     rest = settle_bytes(fetch(docs, found.where("NOT removed").select("doc", "at", "key")))
     spans = exact.unionByName(rest).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    joined = docs.join(spans, "doc", "left").select("doc", "text", "spans")
+    joined = named.join(spans, "doc", "left").select("key", "text", "spans")
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
+        for batch in released(batches):
             sizes, removed, kept = [], [], []
             for cell, spans in zip(batch.column(1), batch.column(2), strict=True):
                 raw = cell.as_py().encode()
@@ -393,7 +393,7 @@ def remove_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 a, z = start[new].tolist(), np.minimum(stop[np.append(new[1:], len(stop)) - 1], len(raw)).tolist()
                 removed.append([{"start": x, "stop": y} for x, y in zip(a, z, strict=True)])
                 kept.append(b"".join(raw[x:y] for x, y in zip([0, *z], [*a, len(raw)], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, arrow), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, arrow), pa.array(kept, pa.binary())], names=["key", "n_bytes", "removed", "kept"])
 
-    out = joined.mapInArrow(run, "doc long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
-    return out.select(F.nullif("doc", F.lit(NULL_ID)).cast(df.schema[key].dataType).alias(key), "n_bytes", "removed", "kept")
+    kind = df.schema[key].dataType.simpleString()
+    return joined.mapInArrow(run, f"key {kind}, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary").withColumnRenamed("key", key)

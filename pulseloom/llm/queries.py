@@ -33,7 +33,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), unit=lines.BOTH)
+    found = lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), unit=lines.BOTH, keep_text=False)
     return found.select(
         "doc_id",
         F.size("removed").cast("long").alias("n_spans"),

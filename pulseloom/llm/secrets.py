@@ -3,9 +3,11 @@
 The field tags each token (a run without white space) as secret begin, inside or outside. Its
 features are the token's own shape, its neighbours' words and shapes, and features of the file
 (language, length, how often it assigns). It is trained here, by gradient ascent on the
-conditional likelihood, on windows of tokens whose labels are the pattern matches, from a
-bounded sample: at most SAMPLE_DOCS documents by their id's hash, at most WINDOWS windows of each
-kind. Everything else covers every whole text.
+conditional likelihood, on windows of tokens from a bounded sample: at most SAMPLE_DOCS documents by their
+id's hash, at most WINDOWS windows of each kind. Some hold pattern matches, which are the labels. So that the field
+learns more than the patterns, drawn secrets (random values, alone or after one of KEYWORDS that no
+pattern has) are put into the windows without a match, and drawn look-alikes (numbers, addresses, names,
+paths) into others as outside. Everything else covers every whole text.
 
 Decoding is Viterbi over whole documents. A token whose score for "outside" leads by more than
 any transitions could make up for is outside on every best path, so paths are only searched
@@ -21,7 +23,10 @@ through where the function says so.
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,6 +46,12 @@ BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 
 #: Bounds of the training sample.
 SAMPLE_DOCS, WINDOWS, REACH = 20_000, 1_000, 10
+#: Windows taken from one document, and the most characters of one (windows with a longer token are left out of training).
+WINDOWS_OF_ONE, WINDOW_CHARS = 8, 4_000
+#: How far, in log odds, a tagged run must lead over no secret at all before it is added.
+LEAD = 2.0
+#: Words before a drawn secret; no fixed pattern has them.
+KEYWORDS = ("pwd", "pass", "passcode", "credential", "credentials", "auth", "authorization", "bearer", "access_key", "private_key", "login", "pin", "session", "signature", "key")
 STEPS, RATE, L2 = 60, 0.5, 1e-3
 WORDS_KEPT = 120_000
 
@@ -240,6 +251,7 @@ class Tagger:
         ids = np.fromiter((n if (n := get(w)) is not None else learn(w) for w in tokens), np.int64, len(tokens))
         x = self.scores[ids]
         e = x[:, :3] + doc
+        e[:, BEGIN] -= LEAD
         e[1:] += x[:-1, 3:6]
         e[:-1] += x[1:, 6:]
         return e
@@ -286,6 +298,56 @@ class Tagger:
         return [(a, 3, b) for a, b in spans if not any(s < b and a < e for s, _, e in base)]
 
 
+def _value(r: random.Random) -> str:
+    """A drawn secret: a random string, with or without a vendor's kind of prefix."""
+    letters = r.choice((string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/_-"))
+    body = "".join(r.choices(letters, k=r.randrange(12, 44)))
+    if not any(map(str.isdigit, body)):
+        body = body[:-3] + str(r.randrange(100, 1000))
+    if r.random() < 0.3:
+        body = "".join(r.choices(string.ascii_lowercase, k=r.randrange(2, 4))) + r.choice("_-") + body
+    return body
+
+
+def _lookalike(r: random.Random) -> str:
+    """A drawn token that is no secret: a number, date, address, path, name, product code or version."""
+    word = lambda: "".join(r.choices(string.ascii_lowercase, k=r.randrange(3, 10)))
+    return r.choice((
+        lambda: str(r.randrange(10 ** r.randrange(1, 14))), lambda: f"{r.randrange(1900, 2100)}-{r.randrange(10, 13)}-{r.randrange(10, 29)}", lambda: f"{word()}@{word()}.{word()[:3]}", lambda: f"https://www.{word()}.com/{word()}/{r.randrange(10 ** 5)}",
+        lambda: f"{word()}_{word()}", lambda: f"{word().title()}{word().title()}", lambda: f"{word()}={r.randrange(1000)}", lambda: f"{word()}:", lambda: f"+{r.randrange(10, 99)}-{r.randrange(100, 999)}-{r.randrange(10 ** 6, 10 ** 7)}",
+        lambda: f"v{r.randrange(9)}.{r.randrange(20)}.{r.randrange(9)}", lambda: f"{word()[:3].upper()}-{r.randrange(10 ** 4)}", lambda: word() + word() + word(), lambda: f"/{word()}/{word()}/{word()}.py", lambda: f"{word()}-{word()}-{word()}", lambda: f"{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}",
+    ))()
+
+
+def with_drawn(windows: list[tuple[list[str], list[int], list[str]]], seed: int = 11) -> list[tuple[list[str], list[int], list[str]]]:
+    """The windows, and for each one without a label two more: with a drawn secret, and with drawn look-alikes.
+
+    Windows without a label are used as often as it takes to have WINDOWS of each."""
+    r, out = random.Random(seed), list(windows)
+    clean = [w for w in windows if all(y == OUTSIDE for y in w[1])]
+    for tokens, labels, doc in clean * -(-WINDOWS // len(clean)) if clean else []:
+        at = r.randrange(len(tokens) + 1)
+        word, value = r.choice(KEYWORDS), _value(r)
+        word = r.choice((word, word.upper(), word.title()))
+        kind = r.random()
+        if kind < 0.35:
+            new, y = [value], [BEGIN]
+        elif kind < 0.55:
+            new, y = [word + r.choice("=:") + r.choice(("", "\"")) + value], [BEGIN]
+        elif kind < 0.85:
+            new, y = [word + r.choice((":", "=", "")), value], [BEGIN, INSIDE]
+        else:
+            new, y = [word, r.choice(("=", ":", "is", "->")), value], [BEGIN, INSIDE, INSIDE]
+        out.append((tokens[:at] + new + tokens[at:], labels[:at] + y + labels[at:], doc))
+        tokens, labels = list(tokens), list(labels)
+        for _ in range(3):
+            at = r.randrange(len(tokens) + 1)
+            new = [r.choice((word, word + ":"))] if r.random() < 0.2 else [_lookalike(r)]  # a keyword without a secret, too
+            tokens[at:at], labels[at:at] = new, [OUTSIDE] * len(new)
+        out.append((tokens, labels, doc))
+    return out
+
+
 def training_windows(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[list[str], list[int], list[str]]]:
     """At most WINDOWS windows of REACH tokens on both sides of base matches, and as many without any."""
     n = df.count()
@@ -315,9 +377,9 @@ def training_windows(df: DataFrame, key: str = "doc_id", text: str = "text", lan
                     first.append(k)
                 if not base and where:
                     first = [abs(h) % len(where)]
-                for f in first[:8]:
+                for f in first[:WINDOWS_OF_ONE]:
                     lo, hi = max(0, f - REACH), min(len(where), f + REACH + 2)
-                    if lo < hi and where[hi - 1][1] - where[lo][0] <= 4000:
+                    if lo < hi and where[hi - 1][1] - where[lo][0] <= WINDOW_CHARS:
                         out.append((h, bool(base), [text[a:b] for a, b in where[lo:hi]], y[lo:hi], doc))
             if out:
                 c = list(zip(*out, strict=True))
@@ -334,7 +396,7 @@ def training_windows(df: DataFrame, key: str = "doc_id", text: str = "text", lan
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Field:
-    return Field.fit(training_windows(df, key, text, lang))
+    return Field.fit(with_drawn(training_windows(df, key, text, lang)))
 
 
 _TAGGERS: dict[str, Tagger] = {}
@@ -357,7 +419,7 @@ def scan(df: DataFrame, crf: Field, text: str = "text", lang: str = "lang", out:
     if out in df.columns:
         raise ValueError(f"column {out} exists")
     shared = df.sparkSession.sparkContext.broadcast(crf)
-    tag = f"{id(shared)}-{np.random.default_rng().integers(1 << 60)}"
+    tag = uuid.uuid4().hex
     at, by = df.columns.index(text), df.columns.index(lang)
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

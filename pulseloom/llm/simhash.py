@@ -14,11 +14,12 @@ verified on all 64 bits.
 
 Copies share a fingerprint and take part once. Buckets beyond BUCKET fingerprints are cut into
 slices whose pairs are checked block by block in different tasks. Within a bucket or
-block, links are followed breadth first and a spanning forest of the links is emitted, never all
-pairs; that loses no connection. Nothing but bit counts and one number a round reaches the driver.
+block, links are followed breadth first and what they connect is emitted as a binary tree, never as all
+pairs or a star; that loses no connection. Nothing but bit counts and one number a round reaches the driver.
 
 Defined results: null or empty texts have fingerprint zero and are linked like any other; repeated
-rows are grouped; an empty table gives an empty table; other columns are not looked at.
+rows are grouped; a null key is the smallest, and comes back as null; an empty table gives an empty table;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import cut, shuffle_partitions, small_batches
+from pulseloom.llm.common import NULL_ID, cut, mix64, released, shuffle_partitions, small_batches
 from pulseloom.llm.components import connected_components
 
 BITS = 64
@@ -44,20 +45,30 @@ ROW_COST, PAIR_COST = 1.0, 0.004
 BROADCAST_BUCKETS = 100_000
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+def shingle_digests(text: str, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; of the whole sequence where it has fewer words."""
     words = text.encode().lower().split()  # of bytes: only A-Z, only ASCII white space
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     if n == 1:
-        digests = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-        digests = [xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(digests, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > n, bitorder="little").view("<u8")[0])
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(digests: np.ndarray) -> int:
+    """The bits that over half of the digests have; none of no digests."""
+    if not len(digests):
+        return 0
+    bits = np.unpackbits(digests.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(digests), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    return majority(shingle_digests(text, shingle, seed))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -65,7 +76,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
+        for batch in released(batches):
             fps = np.array([fingerprint(x.as_py() or "", shingle, seed) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
@@ -196,8 +207,14 @@ def _rows(part: int, keys: np.ndarray, fp: np.ndarray, ids: np.ndarray, probe: b
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(keys.view(np.int64)), pa.array(fp), pa.array(ids), pa.array(np.full(n, probe))], names=["part", "bucket", "fp", "class_id", "probe"])
 
 
+def tree(ids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect some ids: a binary tree with smaller ids nearer its root, so no id has more than three."""
+    s = np.sort(ids).tolist()
+    return [(s[(k - 1) // 2], s[k]) for k in range(1, len(s))]
+
+
 def forest(fp: np.ndarray, ids: np.ndarray, probe: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links among filed rows, and of probes to filed rows, that connect what all such links connect."""
+    """Edges among filed rows, and of probes to filed rows, that connect what all links among them connect."""
     x, at = fp[~probe].view(np.uint64), ids[~probe]
     edges: list[tuple[int, int]] = []
     label = np.full(len(x), -1)
@@ -210,21 +227,26 @@ def forest(fp: np.ndarray, ids: np.ndarray, probe: np.ndarray, distance: int) ->
     while len(rest):
         label[rest[0]] = c
         queue, rest = [int(rest[0])], rest[1:]
+        members = list(queue)
         while queue and len(rest):
             i = queue.pop()
             hit = np.bitwise_count(x[rest] ^ x[i]) <= distance
             if hit.any():
                 found = rest[hit]
                 label[found] = c
-                edges += [(int(at[i]), int(at[j])) for j in found]
+                members += found.tolist()
                 queue += found.tolist()
                 rest = rest[~hit]
+        edges += tree(at[members])
         c += 1
     if probe.any() and len(x):
         px, pid = fp[probe].view(np.uint64), ids[probe]
-        for lo in range(0, len(px), 512):
-            r, k = np.nonzero(np.bitwise_count(px[lo : lo + 512, None] ^ x[None, :]) <= distance)
-            if len(r):
+        step = max(1, (1 << 21) // len(x))
+        for lo in range(0, len(px), step):
+            r, k = np.nonzero(np.bitwise_count(px[lo : lo + step, None] ^ x[None, :]) <= distance)
+            if len(r):  # one edge to each of the connected parts that a probe meets, to any of its members
+                k = k[(by := np.argsort(mix64((r * 31 + k).astype(np.uint64))))]
+                r = r[by]
                 _, first = np.unique(r * (c + len(x) + 1) + label[k], return_index=True)
                 edges += [(int(pid[lo + r[q]]), int(at[k[q]])) for q in first]
     return edges
@@ -285,14 +307,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", dist
     """(key, fp, component_id): one row for each row of ``df``; component_id is the smallest key reachable by links.
 
     ``key`` must be an integer column."""
-    prints = cut(fingerprints(df, key, text, shingle, seed))
-    classes = cut(prints.groupBy("fp").agg(F.min(key).cast("long").alias("class_id")))
+    kind = df.schema[key].dataType
+    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text).alias("text"))
+    prints = cut(fingerprints(docs, "key", "text", shingle, seed))
+    classes = cut(prints.groupBy("fp").agg(F.min("key").alias("class_id")))
     found = connected_components(links(classes, distance))
     named = classes.join(found, F.col("class_id") == F.col("node"), "left").select("fp", F.coalesce("component", "class_id").alias("component_id"))
-    return prints.join(named, "fp").select(key, "fp", "component_id")
-
-
-def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **settings: int) -> DataFrame:
-    """Rows of ``df`` whose key is the smallest of its component."""
-    gone = near_duplicates(df, key, text, **settings).where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return df.join(gone, key, "left_anti").select(*df.columns)
+    own = lambda c, t: F.nullif(c, F.lit(NULL_ID)).cast(t)
+    return prints.join(named, "fp").select(own("key", kind).alias(key), "fp", own("component_id", "long").alias("component_id"))

@@ -21,6 +21,7 @@ extra columns pass through where the function says so. Whole texts are used.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import BoundedMemo, claim, cut, mix64, shuffle_partitions, small_batches
+from pulseloom.llm.common import NULL_ID, BoundedMemo, claim, cut, mix64, shuffle_partitions, small_batches
 
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -165,36 +166,32 @@ def edited_text(text: str, following: str) -> str:
 
 
 def with_following(df: DataFrame, fn, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: ANN001
-    """``fn(ids, texts, following texts)`` -> arrays, over all rows in descending order of ``key``, where the
-    row after the last is the first; ties in the key are ordered by text.
+    """``fn(ids, texts, following texts)`` -> arrays, over all rows in descending order of ``key`` (a null key is the
+    smallest), where the row after the last is the first; rows that share a key are ordered by a hash of their texts.
 
-    Rows are dealt to ranges of the key, of which only the bounds come to the driver: counts of rows in
-    key slices (at most SLICES rows), then the largest key of each range. A text is shuffled once; the first row of
-    each range also goes, as a guest, to the range before it."""
+    Rows are dealt to ranges of (key, hash), of which only the bounds come to the driver: approximate quantiles of
+    the key, at most RANGES, and a key that fills several ranges is cut by the hash. A text is shuffled once;
+    the first row of each range also goes, as a guest, to the range before it."""
     spark = df.sparkSession
-    docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.withColumn("mark", F.xxhash64("text"))
+    n = docs.count()
     if not n:
         return spark.createDataFrame([], schema)
-    ranges = max(1, min(4 * shuffle_partitions(spark), n // 16 or 1))
-    slices = min(SLICES, high - low + 1)
-    width = (high - low) // slices + 1
-    counts = docs.groupBy(((F.col("id") - low) / width).cast("long").alias("slice")).count().orderBy("slice").collect()
-    cuts, have = [], 0
-    for row in counts:
-        if have >= n * (len(cuts) + 1) / ranges and row["slice"]:
-            cuts.append(low + row["slice"] * width)
-        have += row["count"]
-    cuts = sorted(set(cuts))
+    ranges = max(1, min(RANGES, 4 * shuffle_partitions(spark), n // 16 or 1))
+    at = [float(k) / ranges for k in range(1, ranges)]
+    found = docs.agg(F.approx_percentile("id", F.array(*map(F.lit, at)), F.lit(20 * ranges)).alias("q")).first()["q"] if at else []
+    cuts = sorted((i, -(1 << 63) + ((1 << 64) * k // times if times > 1 else 0)) for i, times in Counter(found).items() for k in range(times))
     # Ranges are numbered in descending order of the key, as the rows are read.
-    place = F.lit(len(cuts)) - (F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col("id"))) if cuts else F.lit(0))
-    placed = docs.withColumn("place", place.cast("int"))
-    tops = {r["place"]: r["top"] for r in placed.groupBy("place").agg(F.max("id").alias("top")).collect()}
+    bounds = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(m).alias("mark")) for i, m in cuts]) if cuts else None
+    place = F.lit(len(cuts)) - F.size(F.filter(bounds, lambda c: c <= F.struct("id", "mark"))) if cuts else F.lit(0)
+    placed = docs.withColumn("place", place.cast("int")).withColumn("name", F.concat_ws(":", F.col("id").cast("string"), F.col("mark").cast("string")))
+    tops = {r["place"]: r["top"]["name"] for r in placed.groupBy("place").agg(F.max(F.struct("id", "mark", "name")).alias("top")).collect()}
     order = sorted(tops)
     before = {tops[p]: order[i - 1] for i, p in enumerate(order)}  # the first range's guest goes to the last range
-    guest_of = F.try_element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("id"))
-    both = placed.select("id", "text", F.explode(F.array(F.struct(F.col("place"), F.lit(False).alias("guest")), F.struct(guest_of.alias("place"), F.lit(True).alias("guest")))).alias("p"))
-    dealt = both.where("p.place IS NOT NULL").select("id", "text", "p.place", "p.guest").repartition(min(ranges, shuffle_partitions(spark)), "place").sortWithinPartitions("place", "guest", F.desc("id"), "text")
+    guest_of = F.try_element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("name"))
+    both = placed.select("id", "text", "mark", F.explode(F.array(F.struct(F.col("place"), F.lit(False).alias("guest")), F.struct(guest_of.alias("place"), F.lit(True).alias("guest")))).alias("p"))
+    dealt = both.where("p.place IS NOT NULL").select("id", "text", "p.place", "p.guest", "mark").repartition(min(ranges, shuffle_partitions(spark)), "place").sortWithinPartitions("place", "guest", F.desc("id"), F.desc("mark"))
 
     def run(batches):  # noqa: ANN001, ANN202
         claim("spotsigs", _MEMO.clear)
@@ -221,8 +218,8 @@ def with_following(df: DataFrame, fn, schema: str, key: str = "doc_id", text: st
     return small_batches(dealt).mapInArrow(run, schema)
 
 
-#: Slices of the key's span whose counts come to the driver for balanced ranges.
-SLICES = 20_000
+#: Most ranges, whose bounds come to the driver.
+RANGES = 2_000
 
 
 def edit_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,6 +236,7 @@ def edit_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             changed = signatures(e)
             rows.append((len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint(own), fingerprint(changed), jaccard(own, changed), jaccard(own, after)))
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        ids = [None if i == NULL_ID else i for i in ids]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=REPORT)
 
     REPORT = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

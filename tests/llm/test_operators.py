@@ -167,7 +167,8 @@ def test_simhash(docs, empty):
     for r in rows:
         assert r.fp % (1 << 64) == fps[r.doc_id] and r.component_id == want[r.doc_id]
     assert simhash.near_duplicates(empty).count() == 0
-    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == set(want.values())
+    keyless = simhash.near_duplicates(docs.withColumn("doc_id", F.when(F.col("doc_id") > 6, F.col("doc_id")))).collect()
+    assert {r.component_id for r in keyless if r.doc_id is None} == {None} and len(keyless) == len(TEXTS) + 1
 
 
 @pytest.mark.parametrize("bucket", [4096, 8])
@@ -270,9 +271,156 @@ def test_kneser_ney_is_a_distribution(docs):
     counts = quality.count_trigrams(docs).where("lang = 'en'").toPandas()
     raw = "".join(f"{t}" for i, t in enumerate(TEXTS) if t and i != 3)
     assert counts["n"].sum() == len((raw + TEXTS[8]).encode())
-    model = quality.KneserNey.fit(counts["code"].to_numpy(), counts["n"].to_numpy())
-    p = np.exp(model.table()).reshape(quality.CLASSES**2, quality.CLASSES).sum(axis=1)
-    assert p == pytest.approx(np.ones(len(p)), abs=1e-4)
+    codes = counts["code"].to_numpy()
+    model = quality.KneserNey.fit(codes, counts["n"].to_numpy())
+    assert all((np.diff(k.astype(object)) > 0).all() for k in model.keys + model.left_keys)
+    contexts = [*np.unique(codes >> 8)[:20].tolist(), 0x7A7A, 0x0101]
+    p = np.exp([model.log_probability((c << 8) + np.arange(256)) for c in contexts])
+    assert p.sum(axis=1) == pytest.approx(np.ones(len(contexts)), abs=1e-4)
+
+
+def brute_model(texts):
+    """Interpolated modified Kneser-Ney over byte three-grams in dictionaries."""
+    grams = Counter()
+    for t in texts:
+        b = b"\0\0" + bytes(x + 32 if 65 <= x <= 90 else x for x in t.encode())
+        grams.update(b[k : k + 3] for k in range(len(b) - 2))
+    levels = [grams]
+    for _ in range(2):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+
+    drop, of = {}, {}
+    for c in levels:
+        n = [sum(v == k for v in c.values()) for k in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if all(n) else 0
+        drop[len(next(iter(c)))] = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)] if all(n) else [0.5, 1.0, 1.5]
+        for g, v in c.items():
+            of.setdefault((len(g), g[:-1]), {})[g] = v
+    known = {}
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        if g not in known:
+            same, d = of.get((len(g), g[:-1])), drop[len(g)]
+            if not same:
+                return p(g[1:])
+            take = lambda v: d[min(v, 3) - 1]
+            own = same.get(g, 0)
+            known[g] = ((own - take(own) if own else 0) + sum(map(take, same.values())) * p(g[1:])) / sum(same.values())
+        return known[g]
+
+    return p
+
+
+def test_verdicts_against_brute_force(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(i, prose(r.randrange(55, 90), i), "en" if i % 3 else "fr") for i in range(60)]
+    rows += [(100, " ".join("".join(r.choices("qxzjkvw%$", k=7)) for _ in range(60)), "en"), (101, "too short", "fr"), (None, prose(60, 3), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.lang): r for r in quality.judge(docs).collect()}
+    assert len(got) == len(rows)
+    for lang in ("en", "fr", None):
+        mine = [(i, t) for i, t, x in rows if x == lang]
+        p, lp = brute_model([t for _, t in mine]), {}
+        for i, t in mine:
+            b = b"\0\0" + bytes(x + 32 if 65 <= x <= 90 else x for x in t.encode())
+            each = [math.log(p(b[k : k + 3])) for k in range(len(b) - 2)]
+            k = max(1, len(each) // quality.SEGMENT)
+            cuts = [j * len(each) // k for j in range(k + 1)]
+            lp[i] = -float(np.median([sum(each[x:y]) / (y - x) for x, y in zip(cuts, cuts[1:])]))
+            assert got[i, lang].log_perplexity == pytest.approx(lp[i], abs=2e-4)
+        fine = [lp[i] for i, t in mine if len(t.split()) >= 50 and not got[i, lang].base_failed]
+        q1, q3 = np.percentile(np.round(fine, 4), [25, 75])
+        spread = max(q3 - q1, quality.LEAST_SPREAD)
+        for i, _ in mine:
+            inside = q1 - quality.LOW * spread - 2e-4 <= lp[i] <= q3 + quality.HIGH * spread + 2e-4
+            assert got[i, lang].kept == (not got[i, lang].base_failed and inside)
+    assert not got[100, "en"].kept and not got[100, "en"].base_failed
+    monkeypatch.setattr(quality, "LOT_BYTES", 1)  # each language in a scan of its own
+    whole = quality.train(docs)
+    assert len(quality.lots(whole, 1)) == 3
+    monkeypatch.setattr(quality.lots, "__defaults__", (1,))
+    assert {(r.doc_id, r.lang): (r.log_perplexity, r.kept) for r in quality.judge(docs).collect()} == {k: (r.log_perplexity, r.kept) for k, r in got.items()}
+    with pytest.raises(ValueError):
+        quality.judge(docs.withColumn("kept", F.lit(1)))
+
+
+ODD = [(None, "A line that all of these texts hold, indeed.\nold words here", "en", "s0"), (1, "A line that all of these texts hold, indeed.\n" + prose(70, 31), "en", "s0"), (1, prose(70, 31) + "\nnothing else", "en", None),
+       (None, prose(70, 31), None, "s1"), (None, prose(70, 31), None, "s1"), (2, prose(25000, 32) * 8, "en", "s1"), (3, "", "", ""), (4, None, None, None)]
+
+
+def odd_frame(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string")
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, vocabulary):
+    docs = odd_frame(spark)
+    assert max(len(t or "") for _, t, _, _ in ODD) > 1_000_000
+    for found in (lines.remove_repeats(docs, unit=lines.BOTH), passages.remove_passages(docs), lm.score(docs, order=3), bpe.encode(docs, vocabulary), quality.judge(docs), spotsigs.edit_report(docs), simhash.near_duplicates(docs), secrets.scan(docs, secrets.train(docs)), mixing.mix(docs)):
+        assert sorted(str(r.doc_id) for r in found.select("doc_id").collect()) == sorted(str(i) for i, *_ in ODD)
+    for r in lines.remove_repeats(docs, unit=lines.BOTH).collect():
+        kept, at = [], 0
+        for s in r.removed:
+            kept.append(r.text[at : s.start])
+            at = s.stop
+        assert r.kept_text == (None if r.text is None else "".join([*kept, r.text[at:]]))
+    first, order = {}, sorted({(i, t or "") for i, t, *_ in ODD}, key=lambda d: (d[0] is not None, d[0] or 0))
+    got = [(r.doc_id, bytes(r.kept), r.n_bytes) for r in passages.remove_passages(docs).collect()]
+    shared = [k for i, k, n in got if n == len(prose(70, 31).encode()) and i is None]
+    assert shared[0] == shared[1]  # repeated rows are one document
+    total = sum(n - len(k) for i, k, n in got if not (i is None and n == len(prose(70, 31).encode())))
+    gone = Counter()
+    for i, t in order:
+        raw = t.encode()
+        cover = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 99):
+            if first.setdefault(raw[p : p + 100], (i, t, p)) != (i, t, p):
+                cover[p : p + 100] = True
+        gone[i, t] = int(cover.sum())
+    both = {(i, len(t.encode())): n for (i, t), n in gone.items()}
+    assert abs(total - sum(n for (i, t), n in gone.items() if not (i is None and t == prose(70, 31)))) <= max(both.values())
+
+
+def test_no_keys_at_all(spark):
+    docs = spark.createDataFrame([(None, prose(60, k), "en", "s") for k in range(40)], "doc_id long, text string, lang string, source string")
+    for found in (spotsigs.edit_report(docs), simhash.near_duplicates(docs), passages.remove_passages(docs), lines.remove_repeats(docs)):
+        assert found.count() == 40
+    wide = spark.createDataFrame([(-(2**63) + 1, prose(60, 1)), (2**63 - 1, prose(60, 2)), (0, prose(60, 3))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in spotsigs.edit_report(wide).collect()}
+    assert rows[0].near_next == spotsigs.jaccard(spotsigs.signatures(prose(60, 3)), spotsigs.signatures(prose(60, 1)))
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 8])
+def test_following_rows_of_hot_keys(spark, monkeypatch, ranges):
+    monkeypatch.setattr(spotsigs, "RANGES", ranges)
+    rows = [(7 if k % 2 else k, prose(20, k)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs = spotsigs.with_following(docs, lambda i, a, b: __import__("pyarrow").RecordBatch.from_pylist([{"id": x, "a": y, "b": z} for x, y, z in zip(i, a, b)]), "id long, a string, b string").collect()
+    after = {r.a: r.b for r in pairs}
+    assert len(pairs) == 200 and sorted(after.values()) == sorted(t for _, t in rows)
+    at, seen = next(iter(after)), []
+    for _ in range(200):
+        seen.append(at)
+        at = after[at]
+    assert at == seen[0] and len(set(seen)) == 200  # one round through all rows
+
+
+def test_field_finds_kinds_that_no_pattern_has(spark):
+    from tests.conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tagger = secrets.Tagger(secrets.train(docs))
+    r = random.Random(21)
+    value = lambda: "".join(r.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=r.randrange(18, 36)))
+    hits = 0
+    for k in range(100):  # words and prefixes that training does not have
+        v = r.choice((f"passphrase: {value()}", f"Signing-Secrecy = {value()}", f"ghp_{value()}", f"xoxb-{value()}", f"unlock {value()}"))
+        t = f"{prose(30, k)} {v} {prose(30, k + 500)}"
+        hits += any(t[a:b].endswith(v[-10:]) for a, _, b in tagger.added(t, "en", []))
+    assert hits >= 80
+    false = [(x.doc_id, x.text[a:b]) for x in docs.collect() for a, _, b in tagger.added(x.text or "", x.lang or "", secrets.base_spans(x.text or ""))]
+    assert len(false) <= 2, false
 
 
 def test_urls(spark):
@@ -311,6 +459,19 @@ def test_mixing(spark, docs, empty):
     total = raked["weight"].sum()
     assert (raked.groupby("source")["weight"].sum() / total).tolist() == pytest.approx([0.5, 0.3, 0.2], abs=1e-6)
     assert (raked.groupby("lang")["weight"].sum() / total).tolist() == pytest.approx([2 / 3, 1 / 3], abs=1e-6)
+    want = cells.toPandas()
+    want["weight"] = want["tokens"].astype(float)
+    shares = {"source": [0.5, 0.3, 0.2], "lang": [2 / 3, 1 / 3], "topic": [0.5, 0.5]}
+    for _ in range(100):
+        for d, share in shares.items():
+            now = want.groupby(d)["weight"].transform("sum")
+            want["weight"] *= want[d].map(dict(enumerate(share))) * want["tokens"].sum() / now
+    both = raked.merge(want, on=["source", "lang", "topic"])
+    assert both["weight_x"].tolist() == pytest.approx(both["weight_y"].tolist(), rel=1e-5)
+    for r in rows:
+        assert r.draw == int(hashlib.md5(f"7:{r.doc_id}".encode()).hexdigest()[:8], 16) / 2**32
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("weight", F.lit(1)))
     assert docs.select(mixing.uniform_draw(F.col("doc_id"), 7).alias("u")).where("u < 0 OR u >= 1").count() == 0
 
 
