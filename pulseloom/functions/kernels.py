@@ -121,7 +121,10 @@ class Kernel:
         median = self.icdf((self.cdf(times[0]) + self.cdf(times[-1])) / 2)
         return next((i for i, t in enumerate(times) if t >= median), len(times) - 1)
 
-    def taps(self, period: float, cutoff: float = 5.0) -> list[tuple[int, float]]:
-        """(offset, density) on the sampling grid up to ``cutoff`` sigmas on both sides."""
-        reach = math.ceil(max(cutoff, self.cutoff) * self.sigma / period)
-        return [(k, self.pdf(k * period)) for k in range(-reach, reach + 1)]
+    def taps(self, period: float, cutoff: float = 5.0, center: bool = False) -> list[tuple[int, float]]:
+        """(offset, density): the fewest points at most ``period`` apart that divide ``cutoff`` sigmas on both
+        sides evenly, around zero or (``center``) around the median."""
+        end = max(cutoff, self.cutoff) * self.sigma
+        reach = math.ceil(end / period)
+        middle = self.icdf(0.5) if center and not self.symmetric else 0.0
+        return [(k, self.pdf(middle + k * end / reach)) for k in range(-reach, reach + 1)]

@@ -36,7 +36,7 @@ def best_autoregression(x: np.ndarray, most: int, kind: str = "aic") -> tuple[in
 
 
 def _rounded(v: float, n: int) -> float:
-    return round(float(v), int(-np.log10(1 / np.sqrt(n))))
+    return round(float(v), round(-np.log10(1 / np.sqrt(n))))
 
 
 def pairwise(x: np.ndarray, most: int, kind: str = "aic") -> tuple[float, float, float, float]:
@@ -74,6 +74,8 @@ def spectral_factor(s: np.ndarray, steps: int = 300, tolerance: float = 1e-12) -
         psi = new
         if gap < tolerance * np.abs(psi).max():
             break
+    else:
+        raise ValueError(f"the spectral factorization has not converged in {steps} steps")
     a0 = np.fft.ifft(psi, axis=0)[0].real
     return a0 @ a0.T, psi @ np.linalg.inv(a0)
 

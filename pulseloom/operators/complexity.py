@@ -71,24 +71,41 @@ def scales(duration_us: int, least_us: int, shrink: float = 0.9) -> list[int]:
     return out
 
 
+def least_interval(spikes: DataFrame) -> DataFrame:
+    """One row: the least interval between events of one train, 0 where no train has two."""
+    gap = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("train_id").orderBy("t_us"))
+    return spikes.select(gap.alias("gap")).agg(F.coalesce(F.min("gap"), F.lit(0)).cast("long").alias("least"))
+
+
 def spike_contrast(spikes: DataFrame, n_trains: int, duration_us: int, widths: list[int]) -> DataFrame:
-    """(width_us, contrast, active, synchrony) by scale; the synchrony of the trains is the largest.
+    """(width_us, contrast, active, synchrony) by scale; the trains' synchrony is the largest (``synchrony``).
 
-    Bins overlap by half: an event counts in the two bins over its half step. All scales are one plan."""
+    Bins overlap by half: an event counts in the two bins over its half step, in the interval widened on
+    both sides by the least interval between a train's events. Contrast is the sum of differences of neighbouring
+    counts by twice the events. All scales are one plan; counts are summed by train before trains are counted."""
     w = literal_table(spikes.sparkSession, [(x,) for x in widths], "width_us long")
+    inside = spikes.where(F.col("t_us").between(0, duration_us))
+    total = F.broadcast(inside.agg(F.count("*").alias("events")).crossJoin(least_interval(inside)))
     half = F.col("width_us") / 2
-    step = F.floor(F.col("t_us") / half).cast("long")
-    last = F.floor(F.lit(duration_us) / half).cast("long") - 2
-    each = spikes.where(F.col("t_us").between(0, duration_us)).crossJoin(w).select("train_id", "width_us", last.alias("last"), F.explode(F.array(step - 1, step)).alias("bin"))
-    bins = each.where((F.col("bin") >= 0) & (F.col("bin") <= F.col("last"))).groupBy("width_us", "last", "bin").agg(F.count("*").alias("theta"), F.countDistinct("train_id").alias("n"))
+    span = F.ceil((F.lit(duration_us) + 2 * F.col("least")) / half).cast("long")
+    each = inside.crossJoin(w).crossJoin(total).select("train_id", "width_us", "events", (span - 2).alias("last"), F.least(F.floor((F.col("t_us") + F.col("least")) / half).cast("long"), span - 1).alias("step"))
+    steps = each.groupBy("width_us", "events", "last", "step", "train_id").agg(F.count("*").alias("k"))
+    by_bin = steps.withColumn("bin", F.explode(F.array(F.col("step") - 1, F.col("step")))).where((F.col("bin") >= 0) & (F.col("bin") <= F.col("last")))
+    by_train = by_bin.groupBy("width_us", "events", "last", "bin", "train_id").agg(F.sum("k").alias("k"))
+    bins = by_train.groupBy("width_us", "events", "last", "bin").agg(F.sum("k").alias("theta"), F.count("*").alias("n"))
     order = Window.partitionBy("width_us").orderBy("bin")
     # The sum of differences of neighbours; empty bins are zero, so a gap costs what is before and after it.
     before, at = F.lag("theta").over(order), F.lag("bin").over(order)
     jump = F.when(at == F.col("bin") - 1, F.abs(F.col("theta") - before)).otherwise(F.col("theta") + F.coalesce(before, F.lit(0)))
     edge_first = F.when(at.isNull() & (F.col("bin") == 0), 0).otherwise(jump)
     edge_last = F.when(F.lead("bin").over(order).isNull() & (F.col("bin") < F.col("last")), F.col("theta")).otherwise(0)
-    steps = bins.withColumn("jump", edge_first + edge_last)
-    per = steps.groupBy("width_us").agg(F.sum("jump").alias("jumps"), F.sum("theta").alias("total"), F.sum(F.col("n") * F.col("theta")).alias("weighted"))
-    contrast = F.col("jumps") / (2 * F.col("total"))
+    jumps = bins.withColumn("jump", edge_first + edge_last)
+    per = jumps.groupBy("width_us", "events").agg(F.sum("jump").alias("jumps"), F.sum("theta").alias("total"), F.sum(F.col("n") * F.col("theta")).alias("weighted"))
+    contrast = F.col("jumps") / (2 * F.col("events"))
     active = (F.col("weighted") / F.col("total") - 1) / (n_trains - 1)
     return per.select("width_us", contrast.alias("contrast"), active.alias("active"), (contrast * active).alias("synchrony"))
+
+
+def synchrony(trace: DataFrame) -> DataFrame:
+    """One row: the largest synchrony of all scales."""
+    return trace.agg(F.max("synchrony").alias("synchrony"))

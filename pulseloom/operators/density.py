@@ -14,13 +14,14 @@ from pulseloom.plans.builders import literal_table
 
 
 def standard_csd(samples: DataFrame, spacing: float, sigma: float = 0.3, edges: bool = True) -> DataFrame:
-    """(channel, k, csd): -sigma times the second difference over depth; ``edges`` repeats the end contacts."""
+    """(channel, k, csd): -sigma / spacing times the second difference over depth. ``edges`` repeats the end
+    contacts; without it, an end's value is its own potential by sigma / spacing."""
     w = Window.partitionBy("k").orderBy("channel")
     up, down = F.lag("v").over(w), F.lead("v").over(w)
     if edges:
         up, down = F.coalesce(up, F.col("v")), F.coalesce(down, F.col("v"))
-    out = samples.select("channel", "k", (-sigma * (up - 2 * F.col("v") + down) / spacing**2).alias("csd"))
-    return out.where(F.col("csd").isNotNull())
+    inner = up - 2 * F.col("v") + down
+    return samples.select("channel", "k", (-sigma * F.coalesce(inner, -F.col("v")) / spacing).alias("csd"))
 
 
 def delta_matrix(z: np.ndarray, diameter: float, sigma: float = 0.3, sigma_top: float = 0.3) -> np.ndarray:
@@ -158,3 +159,32 @@ def electrode_grid(dim: int, low: float = 0.1, high: float = 0.9, n: int = 5) ->
 def duplicated(positions: DataFrame) -> DataFrame:
     """Whether two electrodes (channel, x, y, z) share a place."""
     return positions.agg((F.count("*") > F.count_distinct(F.struct("x", "y", "z"))).alias("duplicated"))
+
+
+def dipole(x: np.ndarray) -> np.ndarray:
+    """A profile between 0 and 1: a Gaussian source at 0.7 and a sink of the same size at 0.3, of variance 0.3."""
+    bump = lambda at: np.exp(-((x - at) ** 2) / 0.6) / np.sqrt(0.6 * np.pi)
+    return (bump(0.7) - bump(0.3)) / 2
+
+
+METHODS = ("standard", "delta", "step", "spline", "kernel")
+
+
+def estimate_csd(samples: DataFrame, z: np.ndarray, method: str = "standard", diameter: float = 0.5, sigma: float = 0.3, out: np.ndarray | None = None, width: float = 0.15, lam: float = 1e-3) -> DataFrame:
+    """(channel or place, k, csd) of potentials (channel, k, v) at depths ``z``, by the method's name."""
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}")
+    z = np.asarray(z, float)
+    if len(np.unique(z)) < len(z):
+        raise ValueError("two contacts are at one place")
+    if method == "standard":
+        gaps = np.diff(z)
+        if not np.allclose(gaps, gaps[0]):
+            raise ValueError("the standard method needs evenly spaced contacts")
+        return standard_csd(samples, float(abs(gaps[0])), sigma)
+    out = z if out is None else np.asarray(out, float)
+    matrix = {
+        "delta": lambda: delta_matrix(z, diameter, sigma), "step": lambda: step_matrix(z, diameter, sigma),
+        "spline": lambda: spline_matrix(z, diameter, out, sigma), "kernel": lambda: kernel_matrix(z[:, None], out[:, None], width, lam, sigma),
+    }[method]()
+    return apply_matrix(samples, matrix)

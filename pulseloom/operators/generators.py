@@ -138,7 +138,7 @@ def pool(a: DataFrame, b: DataFrame, inner: bool = True, start: float = 0.0, sto
     return both.where((F.col("t") > start) & (F.col("t") < stop)) if inner else both
 
 
-def autoregressive(spark: SparkSession, lags: list[list[list[float]]], length: int, seed: int = 0, recordings: int = 1) -> DataFrame:
+def autoregressive(spark: SparkSession, lags: list[list[list[float]]], length: int, seed: int = 0, recordings: int = 1, variances: list[float] | None = None) -> DataFrame:
     """(recording, channel, k, v): vector autoregressions with unit noise, one task for each recording."""
     a = np.asarray(lags, float)
 
@@ -148,7 +148,7 @@ def autoregressive(spark: SparkSession, lags: list[list[list[float]]], length: i
                 rng = np.random.default_rng([seed, int(r)])
                 p, d = a.shape[0], a.shape[1]
                 x = np.zeros((length + 100, d))
-                noise = rng.standard_normal(x.shape)
+                noise = rng.standard_normal(x.shape) * np.sqrt(variances or np.ones(d))
                 for k in range(len(x)):
                     x[k] = noise[k] + sum(a[q] @ x[k - q - 1] for q in range(min(p, k)))
                 x = x[100:]
@@ -159,3 +159,36 @@ def autoregressive(spark: SparkSession, lags: list[list[list[float]]], length: i
 
 #: Two-channel process in which channel 1 drives channel 0.
 PAIR = [[[0.9, 0.16], [0.0, 0.8]], [[-0.5, -0.2], [0.0, -0.5]]]
+#: Three-channel process in which channel 1 drives channel 2, which drives channel 0; with a direct
+#: effect of channel 1 on channel 0 at lag 2, or without one. Variances of its noise.
+TRIPLE_LAG_1 = [[0.8, 0.0, 0.4], [0.0, 0.9, 0.0], [0.0, 0.5, 0.5]]
+TRIPLE_LAG_2 = [[-0.5, 0.0, 0.0], [0.0, -0.8, 0.0], [0.0, 0.0, -0.2]]
+TRIPLE_VARIANCES = [0.3, 1.0, 0.2]
+DIRECT_EFFECT = 0.2
+
+
+def driven_triple(spark: SparkSession, length: int = 30_000, direct: bool = False, seed: int = 0) -> DataFrame:
+    """(recording, channel, k, v) of the three-channel process, for tests of conditional causality."""
+    second = [list(row) for row in TRIPLE_LAG_2]
+    second[0][1] = DIRECT_EFFECT if direct else 0.0
+    return autoregressive(spark, [TRIPLE_LAG_1, second], length, seed, variances=TRIPLE_VARIANCES)
+
+
+def homogeneous_poisson(spark: SparkSession, n: int, rate: float, start: float = 0.0, stop: float = 1.0, refractory: float = 0.0, seed: int = 0) -> DataFrame:
+    """(train_id, t): n Poisson trains of one rate."""
+    return stationary(spark, "poisson", n, rate, start, stop, seed=seed, refractory=refractory)
+
+
+def inhomogeneous_poisson(spark: SparkSession, n: int, rates: list[float], period: float, refractory: float = 0.0, seed: int = 0) -> DataFrame:
+    """(train_id, t): n Poisson trains of a sampled rate."""
+    return modulated(spark, "poisson", n, rates, period, seed, refractory=refractory)
+
+
+def homogeneous_gamma(spark: SparkSession, n: int, shape: float, scale_hz: float, start: float = 0.0, stop: float = 1.0, seed: int = 0) -> DataFrame:
+    """(train_id, t): n gamma trains of a shape and a scale, whose rate is scale / shape."""
+    return stationary(spark, "gamma", n, scale_hz / shape, start, stop, seed=seed, shape=shape)
+
+
+def inhomogeneous_gamma(spark: SparkSession, n: int, rates: list[float], period: float, shape: float, seed: int = 0) -> DataFrame:
+    """(train_id, t): n gamma trains of a sampled rate."""
+    return modulated(spark, "gamma", n, rates, period, seed, shape=shape)

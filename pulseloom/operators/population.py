@@ -34,11 +34,13 @@ def highest_cumulant(kappa: tuple[float, float], m: int, xi: int) -> float:
 def cubic(counts: DataFrame, value: str = "value", most: int = 100, alpha: float = 0.05) -> tuple[int, list[float], tuple[float, float, float]]:
     """(order, p values, cumulants): raises the order until the third cumulant no longer contradicts it."""
     n, k1, k2, k3 = kstat(counts, value)
+    if k2 < k1:
+        raise ValueError(f"the variance {k2} is less than the mean {k1}: too few events together, or bins too short")
     p: list[float] = []
     for xi in range(1, most + 1):
         top = highest_cumulant((k1, k2), 3, xi)
         k4, k5, k6 = (highest_cumulant((k1, k2), m, xi) for m in (4, 5, 6))
-        var = (k6 + 9 * (k2 * k4 + top**2) + 6 * k2**3) / n
+        var = k6 / n + 9 * (k2 * k4 + top**2) / (n - 1) + 6 * n * k2**3 / ((n - 1) * (n - 2))
         p.append(1 - _NORMAL.cdf((k3 - top) / math.sqrt(abs(var))) if var else 0.0)
         if p[-1] >= alpha:
             break

@@ -41,11 +41,7 @@ def instantaneous_rate(
     inside = spikes.where(F.col("t_us").between(t_start_us, t_stop_us))
     bins = F.least(F.floor((F.col("t_us") - t_start_us) / period_us), F.lit(n_bins - 1)).cast("long")
     counts = inside.select("train_id", bins.alias("bin")).groupBy("train_id", "bin").agg(F.count("*").alias("n"))
-    rows = kernel.taps(period_us / 1e6, cutoff)
-    shift = 0
-    if center and not kernel.symmetric:
-        shift = rows[kernel.median_index([k * period_us / 1e6 for k, _ in rows])][0]
-    taps = [(k - shift, w) for k, w in rows if w > 0]
+    taps = [(k, w) for k, w in kernel.taps(period_us / 1e6, cutoff, center) if w > 0]
     smooth = tap_join(counts, "bin", "n", literal_table(spikes.sparkSession, taps, "offset long, w double"), ["train_id"], 0, n_bins, "rate_hz")
     reach = max(abs(k) for k, _ in taps)
     lo, hi = (min(reach, n_bins), max(0, n_bins - reach)) if trim else (0, n_bins)
@@ -112,3 +108,13 @@ def optimal_bandwidth(spikes: DataFrame, bandwidths: list[float] | None = None)
 
     kind = spikes.schema["train_id"].dataType.simpleString()
     return spikes.groupBy("train_id").applyInPandas(run, f"train_id {kind}, bandwidth_s double, cost double")
+
+
+def soft_exp(x: float) -> float:
+    """log(1 + exp(x)): maps all numbers to positive ones, and is x for large x."""
+    return math.log1p(math.exp(x)) if x < 100 else x
+
+
+def soft_log(y: float) -> float:
+    """The inverse of ``soft_exp``."""
+    return math.log(math.expm1(y)) if y < 100 else y

@@ -39,13 +39,18 @@ def probability_matrix(imat: DataFrame, rates: DataFrame) -> DataFrame:
     return imat.join(mean, ["i", "j"]).select("i", "j", F.when(F.col("i") == F.col("j"), 0.5).otherwise(p).alias("value"))
 
 
-def boxcar_rates(cells: DataFrame, trains: DataFrame, n_bins: int, reach: int) -> DataFrame:
-    """(train_id, bin, p): share of active bins within ``reach`` bins, the ends cut off."""
+def boxcar_rates(cells: DataFrame, trains: DataFrame, n_bins: int, width: int) -> DataFrame:
+    """(train_id, bin, p): share of active bins in a window of ``width`` bins; the first and last ``width // 2``
+    bins hold the value next to them."""
+    half = width // 2
     from pulseloom.plans.builders import spine
 
     full = spine(trains.select("train_id"), "bin", 0, n_bins).join(cells.select("train_id", "bin").distinct().withColumn("on", F.lit(1)), ["train_id", "bin"], "left")
-    w = Window.partitionBy("train_id").orderBy("bin").rowsBetween(-reach, reach)
-    return full.select("train_id", "bin", F.avg(F.coalesce("on", F.lit(0))).over(w).alias("p"))
+    w = Window.partitionBy("train_id").orderBy("bin").rowsBetween(-half, (width - 1) // 2)
+    rates = full.select("train_id", "bin", (F.sum(F.coalesce("on", F.lit(0))).over(w) / width).alias("p"))
+    held = lambda at: F.max(F.when(F.col("bin") == at, F.col("p"))).over(Window.partitionBy("train_id"))
+    last = n_bins - 1 - half
+    return rates.select("train_id", "bin", F.when(F.col("bin") < half, held(half)).when(F.col("bin") > last, held(last)).otherwise(F.col("p")).alias("p"))
 
 
 def neighbours(pmat: DataFrame, length: int, width: int, n_largest: int) -> DataFrame:
@@ -164,3 +169,19 @@ def sse_units(a: DataFrame) -> DataFrame:
 def sse_bounds(a: DataFrame) -> DataFrame:
     """The first and last bins of a sequence on both axes."""
     return a.agg(F.min("i").alias("i_start"), F.max("i").alias("i_stop"), F.min("j").alias("j_start"), F.max("j").alias("j_stop"))
+
+
+def is_symmetric(matrix: DataFrame, tolerance: float = 1e-9) -> bool:
+    """Whether value (i, j) is value (j, i) everywhere; a missing entry is zero."""
+    other = matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("value").alias("mirrored"))
+    gap = F.abs(F.coalesce("value", F.lit(0)) - F.coalesce("mirrored", F.lit(0)))
+    return matrix.join(other, ["i", "j"], "full").where(gap > tolerance).isEmpty()
+
+
+def step_values(samples: DataFrame, times: DataFrame, by: str = "channel") -> DataFrame:
+    """(by, t_us, v): at each time, the value of the last sample (by, t_us, v) at or before it, or else of the
+    first one. One sort of both by time instead of a join."""
+    both = samples.select(by, "t_us", "v", F.lit(0).alias("kind")).unionByName(times.select(by, "t_us", F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind")))
+    w = Window.partitionBy(by).orderBy("t_us", "kind")
+    held = F.coalesce(F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    return both.withColumn("v", held).where("kind = 1").drop("kind")

@@ -31,7 +31,8 @@ def cross_correlation(samples: DataFrame, pairs: list[tuple], max_lag: int, scal
 
 
 def rauc(samples: DataFrame, baseline: str | float | None = None, bin_samples: int | None = None, fs: float = 1.0) -> DataFrame:
-    """(channel, bin, area): trapezoid of |v - baseline| within each bin; trapezoids do not bridge bins."""
+    """(channel, bin, area): trapezoid of |v - baseline| within each bin; trapezoids do not bridge bins, and a last
+    bin that is not full goes on with zeros."""
     if baseline in ("mean", "median"):
         m = samples.groupBy("channel").agg((F.avg("v") if baseline == "mean" else F.median("v")).alias("base"))
         x = samples.join(m, "channel").withColumn("v", F.abs(F.col("v") - F.col("base")))
@@ -39,7 +40,11 @@ def rauc(samples: DataFrame, baseline: str | float | None = None, bin_samples: i
         x = samples.withColumn("v", F.abs(F.col("v") - float(baseline or 0.0)))
     x = x.withColumn("bin", F.floor(F.col("k") / bin_samples).cast("long") if bin_samples else F.lit(0).cast("long"))
     w = Window.partitionBy("channel", "bin").orderBy("k")
-    piece = (F.col("v") + F.lead("v").over(w)) / 2 / fs
+    after = F.lead("v").over(w)
+    if bin_samples:
+        full = F.count("*").over(Window.partitionBy("channel", "bin")) >= bin_samples
+        after = F.coalesce(after, F.when(~full, 0.0))
+    piece = (F.col("v") + after) / 2 / fs
     return x.withColumn("piece", piece).groupBy("channel", "bin").agg(F.coalesce(F.sum("piece"), F.lit(0.0)).alias("area"))
 
 

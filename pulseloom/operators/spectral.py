@@ -46,20 +46,25 @@ def _segments(x: np.ndarray, length: int, overlap: float) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, length)[::step]
 
 
-def cross_spectra(x: np.ndarray, fs: float, length: int, overlap: float, tapers: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(frequencies, spectra [i, j, f]) of channels x [i, t]: one-sided densities averaged over segments and tapers."""
+def cross_spectra(x: np.ndarray, fs: float, length: int, overlap: float, tapers: np.ndarray | None, one_sided: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(frequencies, spectra [i, j, f]) of channels x [i, t], averaged over segments and tapers.
+
+    Without tapers, segments are centred and windowed. ``one_sided`` doubles what has a negative frequency (with
+    tapers, all but frequency zero)."""
     windows = hann(length)[None] if tapers is None else tapers
     total = None
     for parts in zip(*(_segments(c, length, overlap) for c in x), strict=True):
         seg = np.array(parts)
-        seg = seg - seg.mean(axis=1, keepdims=True)
+        if tapers is None:
+            seg = seg - seg.mean(axis=1, keepdims=True)
         f = np.fft.rfft(seg[:, None, :] * windows[None], axis=-1)
         s = np.einsum("ikf,jkf->ijf", np.conj(f), f) / (fs * (windows**2).sum() if tapers is None else fs * len(windows))
         total = s if total is None else total + s
     count = len(_segments(x[0], length, overlap))
     out = total / count
     stop = -1 if length % 2 == 0 and tapers is None else None
-    out[..., 1:stop] *= 2
+    if one_sided:
+        out[..., 1:stop] *= 2
     return np.fft.rfftfreq(length, 1 / fs), out
 
 
@@ -101,7 +106,7 @@ def multitaper_cross_spectrum(samples: DataFrame, by: str = "recording", fs: flo
 
     def fn(channels: list, x: np.ndarray) -> dict:
         length = segment_length(x.shape[1], fs, n_segments, overlap=overlap)
-        f, s = cross_spectra(x, fs, length, overlap, dpss(length, nw, int(2 * nw) - 1))
+        f, s = cross_spectra(x, fs, length, overlap, dpss(length, nw, int(2 * nw) - 1), one_sided=False)
         n, m = len(channels), len(f)
         i, j = np.divmod(np.arange(n * n), n)
         c = np.array(channels)
@@ -131,3 +136,24 @@ def weighted_phase_lag_index(samples: DataFrame, fs: float = 1.0) -> DataFrame:
 
     each = _grouped(samples, "trial_id", fn, "freq double, im double")
     return each.groupBy("freq").agg((F.abs(F.avg("im")) / F.nullif(F.avg(F.abs("im")), F.lit(0.0))).alias("wpli"))
+
+
+def welch_cohere(samples: DataFrame, by: str = "recording", fs: float = 1.0, n_segments: int = 8, overlap: float = 0.5) -> DataFrame:
+    """Coherence by Welch's method (an older name)."""
+    return coherence(samples, by, fs, False, n_segments=n_segments, overlap=overlap)
+
+
+def spike_field_coherence(samples: DataFrame, spikes: DataFrame, fs: float = 1.0, length: int = 256, overlap: float = 0.5) -> DataFrame:
+    """(channel, freq, coherence) of each channel (channel, k, v) with the counts of its events (channel, k): Welch's
+    method on segments of ``length`` samples, or of the whole signal if that is shorter."""
+    counts = spikes.groupBy("channel", "k").agg(F.count("*").cast("double").alias("n"))
+    joined = samples.join(counts, ["channel", "k"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("k")[["n", "v"]].to_numpy(float).T
+        f, s = cross_spectra(x, fs, min(length, x.shape[1]), overlap, None)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c = np.abs(s[0, 1]) ** 2 / (s[0, 0].real * s[1, 1].real)
+        return pd.DataFrame({"channel": pdf["channel"].iloc[0], "freq": f, "coherence": c})
+
+    return joined.groupBy("channel").applyInPandas(run, f"channel {samples.schema['channel'].dataType.simpleString()}, freq double, coherence double")

@@ -249,8 +249,11 @@ def joint_isi_histogram(spikes: DataFrame, bin_us: int, n_bins: int = 100) -> Da
     return bins.where((F.col("a") < n_bins) & (F.col("b") < n_bins)).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def surrogates(spikes: DataFrame, method: str, n: int = 1, dt_us: int | None = None, t_start_us: int = 0, t_stop_us: int = 0, seed: int = 0) -> DataFrame:
-    """Surrogates by the method's name."""
+def surrogates(spikes: DataFrame, method: str, n: int = 1, dt_us: int | None = None, t_start_us: int = 0, t_stop_us: int = 0, seed: int = 0, bin_us: int = 1_000, trial_us: int | None = None, gap_us: int = 0) -> DataFrame:
+    """(surrogate, train_id, t_us) by the method's name.
+
+    Bin shuffling moves bins of ``bin_us`` within windows of ``dt_us``. Trial shifting takes trials from a
+    ``trial_id`` column, or cuts trains into trials of ``trial_us`` (the whole interval unless given)."""
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
     if dt_us is None and method not in ("randomise_spikes", "shuffle_isis"):
@@ -261,8 +264,8 @@ def surrogates(spikes: DataFrame, method: str, n: int = 1, dt_us: int | None = N
         "shuffle_isis": lambda: shuffle_isis(spikes, t_start_us, n, seed),
         "dither_spike_train": lambda: dither_train(spikes, dt_us, t_start_us, t_stop_us, n, seed),
         "jitter_spikes": lambda: jitter_spikes(spikes, dt_us, n, seed),
-        "bin_shuffling": lambda: bin_shuffling(spikes, dt_us, n, seed),
-        "trial_shifting": lambda: trial_shifting(spikes, dt_us, t_stop_us - t_start_us, n, seed),
+        "bin_shuffling": lambda: bin_shuffling_continuous(spikes, bin_us, max(1, dt_us // bin_us), t_start_us, t_stop_us, n, seed),
+        "trial_shifting": lambda: trial_shifting(spikes, dt_us, t_stop_us - t_start_us, n, seed) if "trial_id" in spikes.columns else shift_trials_of_one(spikes, dt_us, trial_us or t_stop_us - t_start_us, gap_us, t_start_us, t_stop_us, n, seed),
         "joint_isi_dithering": lambda: joint_isi_dithering(spikes, dt_us, t_stop_us, n=n, seed=seed),
         "isi_dithering": lambda: joint_isi_dithering(spikes, dt_us, t_stop_us, independent=True, n=n, seed=seed),
     }[method]()

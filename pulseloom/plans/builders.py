@@ -26,7 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialised in the shared checkpoint folder, for what is read more than once."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulseloom-"))
     return df.checkpoint()
 
@@ -52,6 +54,14 @@ def band_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str
     return a.join(b, [*on, "__bucket"]).where((F.col(right_at) - F.col(left_at)).between(low, high)).drop("__bucket")
 
 
+def all_pairs(left: DataFrame, right: DataFrame, i: str, j: str, blocks: int = 16) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``, dealt to blocks x blocks by hashes of ``i`` and ``j``: an
+    equi-join on the block, for results that are all pairs."""
+    a = left.withColumn("__bi", F.pmod(F.xxhash64(i), F.lit(blocks))).withColumn("__bj", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    b = right.withColumn("__bj", F.pmod(F.xxhash64(j), F.lit(blocks))).withColumn("__bi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return a.join(b, ["__bi", "__bj"]).drop("__bi", "__bj")
+
+
 def islands(df: DataFrame, partition: Sequence[str], order: str, breaks: Column, name: str = "island") -> DataFrame:
     """``df`` with a running number of runs; ``breaks`` is true where a row starts a new one."""
     w = Window.partitionBy(*partition).orderBy(order)

@@ -307,54 +307,63 @@ def _(spark, sf):
 _SCALES = complexity.scales(SPAN_US, 6 * HOUR)
 
 
-@query("spike_contrast", f"""WITH {SPIKES}, w AS (SELECT unnest([{', '.join(map(str, _SCALES))}])::BIGINT AS width_us), x AS (SELECT train_id, width_us, floor({SPAN_US} / (width_us / 2))::BIGINT - 2 AS last, floor(t_us / (width_us / 2))::BIGINT AS s FROM spikes, w WHERE t_us BETWEEN 0 AND {SPAN_US}),
-y AS (SELECT train_id, width_us, last, unnest([s - 1, s]) AS bin FROM x), d AS (SELECT width_us, bin, count(*) AS theta, count(DISTINCT train_id) AS n FROM y WHERE bin BETWEEN 0 AND last GROUP BY ALL),
-g AS (SELECT width_us, unnest(range(0, floor({SPAN_US} / (width_us / 2))::BIGINT - 1)) AS bin FROM w), f AS (SELECT width_us, bin, coalesce(theta, 0) AS theta, coalesce(n, 0) AS n FROM g LEFT JOIN d USING (width_us, bin)),
-j AS (SELECT *, abs(theta - lag(theta) OVER (PARTITION BY width_us ORDER BY bin)) AS step FROM f), p AS (SELECT width_us, coalesce(sum(step), 0) / (2 * sum(theta)) AS contrast, (sum(n * theta) / sum(theta) - 1) / ((SELECT count(*) FROM trains) - 1) AS active FROM j GROUP BY 1)
-SELECT width_us, round(contrast, 9) AS contrast, round(active, 9) AS active, round(contrast * active, 9) AS synchrony FROM p""")
+_CONTRAST = f"""{SPIKES}, w AS (SELECT unnest([{', '.join(map(str, _SCALES))}])::BIGINT AS width_us), i AS (SELECT coalesce(min(gap), 0) AS least, (SELECT count(*) FROM spikes WHERE t_us BETWEEN 0 AND {SPAN_US}) AS events FROM (SELECT t_us - lag(t_us) OVER (PARTITION BY train_id ORDER BY t_us) AS gap FROM spikes WHERE t_us BETWEEN 0 AND {SPAN_US})),
+x AS (SELECT train_id, width_us, ceil(({SPAN_US} + 2 * least) / (width_us / 2))::BIGINT - 2 AS last, floor((t_us + least) / (width_us / 2))::BIGINT AS s FROM spikes, w, i WHERE t_us BETWEEN 0 AND {SPAN_US}),
+y AS (SELECT train_id, width_us, last, unnest([least(s, last + 1) - 1, least(s, last + 1)]) AS bin FROM x), d AS (SELECT width_us, bin, count(*) AS theta, count(DISTINCT train_id) AS n FROM y WHERE bin BETWEEN 0 AND last GROUP BY ALL),
+g AS (SELECT width_us, unnest(range(0, ceil(({SPAN_US} + 2 * least) / (width_us / 2))::BIGINT - 1)) AS bin FROM w, i), f AS (SELECT width_us, bin, coalesce(theta, 0) AS theta, coalesce(n, 0) AS n FROM g LEFT JOIN d USING (width_us, bin)),
+j AS (SELECT *, abs(theta - lag(theta) OVER (PARTITION BY width_us ORDER BY bin)) AS step FROM f), p AS (SELECT width_us, coalesce(sum(step), 0) / (2 * (SELECT events FROM i)) AS contrast, (sum(n * theta) / sum(theta) - 1) / ((SELECT count(*) FROM trains) - 1) AS active FROM j GROUP BY 1)"""
+
+
+@query("spike_contrast", f"WITH {_CONTRAST} SELECT width_us, round(contrast, 9) AS contrast, round(active, 9) AS active, round(contrast * active, 9) AS synchrony FROM p")
 def _(spark, sf):
     spikes = event_trains(spark, sf)
     out = complexity.spike_contrast(spikes, trains_of(spikes).count(), SPAN_US, _SCALES)
     return out.select("width_us", *[F.round(c, 9).alias(c) for c in ("contrast", "active", "synchrony")])
 
 
+@query("spike_contrast_synchrony", f"WITH {_CONTRAST} SELECT round(max(contrast * active), 9) AS synchrony FROM p")
+def _(spark, sf):
+    spikes = event_trains(spark, sf)
+    return complexity.synchrony(complexity.spike_contrast(spikes, trains_of(spikes).count(), SPAN_US, _SCALES)).select(F.round("synchrony", 9).alias("synchrony"))
+
+
 # ---- correlation ----
 
-_MOMENTS = "m AS (SELECT train_id, sum(n)::BIGINT AS s, sum(n * n)::BIGINT AS q FROM binned GROUP BY 1), xy AS (SELECT a.train_id AS i, b.train_id AS j, sum(a.n * b.n)::BIGINT AS sxy FROM binned a JOIN binned b ON a.bin = b.bin AND a.train_id <= b.train_id GROUP BY ALL)"
+_MOMENTS = "m AS (SELECT train_id, coalesce(sum(n), 0)::BIGINT AS s, coalesce(sum(n * n), 0)::BIGINT AS q FROM trains LEFT JOIN binned USING (train_id) GROUP BY 1), xy AS (SELECT a.train_id AS i, b.train_id AS j, sum(a.n * b.n)::BIGINT AS sxy FROM binned a JOIN binned b ON a.bin = b.bin AND a.train_id <= b.train_id GROUP BY ALL)"
 
 
-@query("covariance", f"WITH {BINNED}, {_MOMENTS} SELECT i, j, round((sxy - a.s * b.s / {HOURS}) / {HOURS - 1}, 9) AS value FROM xy JOIN m a ON i = a.train_id JOIN m b ON j = b.train_id")
+@query("covariance", f"WITH {BINNED}, {_MOMENTS} SELECT a.train_id AS i, b.train_id AS j, round((coalesce(sxy, 0) - a.s * b.s / {HOURS}) / {HOURS - 1}, 9) AS value FROM m a JOIN m b ON a.train_id <= b.train_id LEFT JOIN xy ON xy.i = a.train_id AND xy.j = b.train_id")
 def _(spark, sf):
     return correlation.covariance(hourly(spark, sf)).withColumn("value", F.round("value", 9))
 
 
-@query("correlation_coefficient", f"WITH {BINNED}, {_MOMENTS} SELECT i, j, round((sxy - a.s * b.s / {HOURS}) / (sqrt(a.q - a.s * a.s / {HOURS}) * sqrt(b.q - b.s * b.s / {HOURS})), 9) AS value FROM xy JOIN m a ON i = a.train_id JOIN m b ON j = b.train_id")
+@query("correlation_coefficient", f"WITH {BINNED}, {_MOMENTS} SELECT a.train_id AS i, b.train_id AS j, round((coalesce(sxy, 0) - a.s * b.s / {HOURS}) / (sqrt(a.q - a.s * a.s / {HOURS}) * sqrt(b.q - b.s * b.s / {HOURS})), 9) AS value FROM m a JOIN m b ON a.train_id <= b.train_id LEFT JOIN xy ON xy.i = a.train_id AND xy.j = b.train_id")
 def _(spark, sf):
     return correlation.correlation(hourly(spark, sf)).withColumn("value", F.round("value", 9))
 
 
-@query("cross_correlation_histogram", f"WITH {BINNED} SELECT a.train_id AS i, b.train_id AS j, b.bin - a.bin AS lag, sum(a.n * b.n)::BIGINT AS value FROM binned a JOIN binned b ON b.bin BETWEEN a.bin - 5 AND a.bin + 5 WHERE a.train_id < 20 AND b.train_id < 20 GROUP BY ALL")
+@query("cross_correlation_histogram", f"WITH {BINNED} SELECT a.train_id AS i, b.train_id AS j, b.bin - a.bin AS lag, sum(a.n * b.n)::BIGINT AS value FROM binned a JOIN binned b ON b.bin BETWEEN a.bin - 5 AND a.bin + 5 GROUP BY ALL")
 def _(spark, sf):
     b = hourly(spark, sf)
-    few = b.take(0, HOURS, 1, list(range(20)))
-    return correlation.cross_correlation_histogram(few, few, (-5, 5))
+    return correlation.cross_correlation_histogram(b, b, (-5, 5))
 
 
-@query("cross_correlation_coefficient", f"""WITH {BINNED}, m AS (SELECT train_id, sum(n)::BIGINT AS s, sum(n * n)::BIGINT AS q FROM binned GROUP BY 1), c AS (SELECT a.train_id AS i, b.train_id AS j, b.bin - a.bin AS lag, sum(a.n * b.n) * {HOURS} / ({HOURS} - abs(b.bin - a.bin)) AS v FROM binned a JOIN binned b ON b.bin BETWEEN a.bin - 5 AND a.bin + 5 WHERE a.train_id < 20 AND b.train_id < 20 GROUP BY a.train_id, b.train_id, b.bin - a.bin)
-SELECT i, j, lag, round((v - a.s * b.s / {HOURS}) / sqrt((a.q - a.s * a.s / {HOURS}) * (b.q - b.s * b.s / {HOURS})), 9) AS value FROM c JOIN m a ON i = a.train_id JOIN m b ON j = b.train_id""")
+@query("cross_correlation_coefficient", f"""WITH {BINNED}, m AS (SELECT train_id, sum(n)::BIGINT AS s, sum(n * n)::BIGINT AS q FROM binned GROUP BY 1), c AS (SELECT a.train_id AS i, b.train_id AS j, b.bin - a.bin AS lag, sum(a.n * b.n) * {HOURS} / ({HOURS} - abs(b.bin - a.bin)) AS v FROM binned a JOIN binned b ON b.bin BETWEEN a.bin - 5 AND a.bin + 5 GROUP BY a.train_id, b.train_id, b.bin - a.bin)
+SELECT a.train_id AS i, b.train_id AS j, l.lag, round((coalesce(v, 0) - a.s * b.s / {HOURS}) / sqrt((a.q - a.s * a.s / {HOURS}) * (b.q - b.s * b.s / {HOURS})), 9) AS value FROM m a CROSS JOIN m b CROSS JOIN range(-5, 6) AS l(lag) LEFT JOIN c ON c.i = a.train_id AND c.j = b.train_id AND c.lag = l.lag""")
 def _(spark, sf):
-    few = hourly(spark, sf).take(0, HOURS, 1, list(range(20)))
-    return correlation.cross_correlation_histogram(few, few, (-5, 5), border_correction=True, coefficient=True).withColumn("value", F.round("value", 9))
+    b = hourly(spark, sf)
+    return correlation.cross_correlation_histogram(b, b, (-5, 5), border_correction=True, coefficient=True).withColumn("value", F.round("value", 9))
 
 
 _DT = 600_000_000
+_REACH = _DT + SPAN_US // 100_000 + 1
 
 
 @query("spike_time_tiling", f"""WITH {SPIKES}, g AS (SELECT train_id, t_us, lead(t_us) OVER w AS nx, lag(t_us) OVER w AS pv FROM spikes WINDOW w AS (PARTITION BY train_id ORDER BY t_us)),
 ta AS (SELECT train_id, sum(CASE WHEN nx IS NULL THEN least({_DT}, {SPAN_US} - t_us) ELSE least(nx - t_us, {2 * _DT}) END + CASE WHEN pv IS NULL THEN least({_DT}, t_us) ELSE 0 END) / {SPAN_US} AS share FROM g GROUP BY 1),
-h AS (SELECT a.train_id AS i, b.train_id AS j, count(DISTINCT a.t_us) AS hits FROM spikes a JOIN spikes b ON b.t_us BETWEEN a.t_us - {_DT} AND a.t_us + {_DT} AND a.train_id <> b.train_id GROUP BY ALL), n AS (SELECT train_id, count(DISTINCT t_us) AS n FROM spikes GROUP BY 1),
+h AS (SELECT a.train_id AS i, b.train_id AS j, count(DISTINCT a.t_us) AS hits FROM spikes a JOIN spikes b ON b.t_us BETWEEN a.t_us - {_REACH} AND a.t_us + {_REACH} AND abs(a.t_us - b.t_us) <= {_DT}::DOUBLE + 1e-5::DOUBLE * abs(b.t_us) AND a.train_id <> b.train_id GROUP BY ALL), n AS (SELECT train_id, count(DISTINCT t_us) AS n FROM spikes GROUP BY 1),
 p AS (SELECT i, j, hits / n AS share FROM h JOIN n ON i = train_id)
-SELECT x.i, x.j, round(((x.share - tb.share) / (1 - x.share * tb.share) + (y.share - ta.share) / (1 - y.share * ta.share)) / 2, 9) AS sttc FROM p x JOIN p y ON x.i = y.j AND x.j = y.i JOIN ta ON x.i = ta.train_id JOIN ta tb ON x.j = tb.train_id WHERE x.i < x.j""")
+SELECT ta.train_id AS i, tb.train_id AS j, round(((coalesce(x.share, 0) - tb.share) / (1 - coalesce(x.share, 0) * tb.share) + (coalesce(y.share, 0) - ta.share) / (1 - coalesce(y.share, 0) * ta.share)) / 2, 9) AS sttc FROM ta JOIN ta tb ON ta.train_id < tb.train_id LEFT JOIN p x ON x.i = ta.train_id AND x.j = tb.train_id LEFT JOIN p y ON y.i = tb.train_id AND y.j = ta.train_id""")
 def _(spark, sf):
     return correlation.spike_time_tiling(event_trains(spark, sf), _DT, 0, SPAN_US).withColumn("sttc", F.round("sttc", 9))
 
@@ -366,7 +375,7 @@ def _(spark, sf):
 
 
 @query("normalized_cross_correlation", f"""WITH {BINNED}, m AS (SELECT train_id, sqrt((sum(n * n) - sum(n) * sum(n) / {HOURS}) / {HOURS - 1}) AS sd FROM binned GROUP BY 1)
-SELECT a.train_id AS i, b.train_id AS j, b.bin - a.bin AS delay, round(sum(a.n * b.n) / (any_value(x.sd) * any_value(y.sd) * {HOURS}), 9) AS ncc FROM binned a JOIN binned b ON b.bin BETWEEN a.bin AND a.bin + 3 AND a.train_id <> b.train_id JOIN m x ON x.train_id = a.train_id JOIN m y ON y.train_id = b.train_id GROUP BY a.train_id, b.train_id, b.bin - a.bin""")
+SELECT a.train_id AS i, b.train_id AS j, a.bin - b.bin AS delay, round(sum(a.n * b.n) / (any_value(x.sd) * any_value(y.sd) * {HOURS}), 9) AS ncc FROM binned a JOIN binned b ON a.bin BETWEEN b.bin AND b.bin + 3 AND a.train_id <> b.train_id JOIN m x ON x.train_id = a.train_id JOIN m y ON y.train_id = b.train_id GROUP BY a.train_id, b.train_id, a.bin - b.bin""")
 def _(spark, sf):
     return correlation.normalized_cross_correlation(hourly(spark, sf), (0, 3)).withColumn("ncc", F.round("ncc", 9))
 
@@ -380,11 +389,11 @@ def _(spark, sf):
 
 # ---- distances ----
 
-_FEW = f"{SPIKES}, few AS (SELECT train_id, t_us FROM spikes WHERE train_id < 40), c AS (SELECT train_id, count(*) AS n FROM few GROUP BY 1)"
+_FEW = f"{SPIKES}, few AS (SELECT train_id, t_us FROM spikes), c AS (SELECT train_id, count(*) AS n FROM few GROUP BY 1)"
 
 
 def few(spark: SparkSession, sf: str) -> DataFrame:
-    return event_trains(spark, sf).where("train_id < 40")
+    return event_trains(spark, sf)
 
 
 @query("victor_purpura_zero", f"WITH {_FEW} SELECT a.train_id AS i, b.train_id AS j, abs(a.n - b.n)::DOUBLE AS distance FROM c a JOIN c b ON a.train_id < b.train_id")
@@ -392,7 +401,7 @@ def _(spark, sf):
     return distances.victor_purpura(few(spark, sf), 0.0)
 
 
-@query("victor_purpura_infinite", f"WITH {_FEW}, s AS (SELECT x.train_id AS i, y.train_id AS j, count(*) AS k FROM few x JOIN few y ON x.t_us = y.t_us AND x.train_id < y.train_id GROUP BY ALL) SELECT a.train_id AS i, b.train_id AS j, (a.n + b.n - 2 * coalesce(k, 0))::DOUBLE AS distance FROM c a JOIN c b ON a.train_id < b.train_id LEFT JOIN s ON s.i = a.train_id AND s.j = b.train_id")
+@query("victor_purpura_infinite", f"WITH {_FEW} SELECT a.train_id AS i, b.train_id AS j, (a.n + b.n)::DOUBLE AS distance FROM c a JOIN c b ON a.train_id < b.train_id")
 def _(spark, sf):
     return distances.victor_purpura(few(spark, sf), float("inf"))
 
@@ -452,7 +461,7 @@ def _(spark, sf):
     return signals.cross_correlation(vector_signals(spark, sf, 4), [(0, 1), (2, 3)], 3).withColumn("value", F.round("value", 6))
 
 
-@query("rauc", f"WITH {VALUES_}, m AS (SELECT channel, avg(v) AS a FROM vals GROUP BY 1), x AS (SELECT channel, k, k // 10 AS bin, abs(v - a) AS v FROM vals JOIN m USING (channel)), p AS (SELECT channel, bin, (v + lead(v) OVER (PARTITION BY channel, bin ORDER BY k)) / 2 AS t FROM x) SELECT channel, bin, round(coalesce(sum(t), 0), 6) AS area FROM p GROUP BY ALL")
+@query("rauc", f"WITH {VALUES_}, m AS (SELECT channel, avg(v) AS a FROM vals GROUP BY 1), x AS (SELECT channel, k, k // 10 AS bin, abs(v - a) AS v, count(*) OVER (PARTITION BY channel, k // 10) AS many FROM vals JOIN m USING (channel)), p AS (SELECT channel, bin, (v + coalesce(lead(v) OVER (PARTITION BY channel, bin ORDER BY k), CASE WHEN many < 10 THEN 0 END)) / 2 AS t FROM x) SELECT channel, bin, round(coalesce(sum(t), 0), 6) AS area FROM p GROUP BY ALL")
 def _(spark, sf):
     return signals.rauc(user_signal(spark, sf), "mean", 10).withColumn("area", F.round("area", 6))
 
@@ -617,7 +626,7 @@ def _(spark, sf):
 
 def _recordings(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of neighbouring vector positions as recordings of two channels."""
-    x = vector_signals(spark, sf, 8)
+    x = vector_signals(spark, sf, 64)
     return x.select(F.floor(F.col("channel") / 2).cast("int").alias("recording"), F.pmod("channel", F.lit(2)).alias("channel"), "k", "v")
 
 
@@ -636,14 +645,14 @@ def _(spark, sf):
 def _(spark, sf):
     from pulseloom.operators import spectral
 
-    return spectral.welch_psd(vector_signals(spark, sf, 8))
+    return spectral.welch_psd(vector_signals(spark, sf, 64))
 
 
 @query("multitaper_psd")
 def _(spark, sf):
     from pulseloom.operators import spectral
 
-    return spectral.multitaper_psd(vector_signals(spark, sf, 4), n_segments=4)
+    return spectral.multitaper_psd(vector_signals(spark, sf, 64), n_segments=4)
 
 
 @query("multitaper_cross_spectrum")
@@ -660,6 +669,15 @@ def _(spark, sf):
     return spectral.coherence(_recordings(spark, sf))
 
 
+@query("spike_field_coherence")
+def _(spark, sf):
+    from pulseloom.operators import spectral
+
+    x = vector_signals(spark, sf, 64)
+    events = table(spark, sf, "events").select(F.pmod("event_id", F.lit(64)).cast("int").alias("channel"), F.pmod(F.col("event_id") * 7, F.lit(200)).cast("long").alias("k"))
+    return spectral.spike_field_coherence(x, events, length=64)
+
+
 @query("weighted_phase_lag_index")
 def _(spark, sf):
     from pulseloom.operators import spectral
@@ -833,16 +851,16 @@ def _pmat(spark: SparkSession, sf: str) -> DataFrame:
     from pulseloom.operators import sequences
 
     cells = _day_cells(spark, sf)
-    p = sequences.boxcar_rates(cells, cells.select("train_id").distinct(), 120, 4)
+    p = sequences.boxcar_rates(cells, cells.select("train_id").distinct(), 120, 9)
     return sequences.probability_matrix(sequences.intersection_matrix(cells), p)
 
 
-@query("boxcar_rates", f"WITH {_DAYS}, g AS (SELECT t.train_id, r.bin, CASE WHEN c.bin IS NULL THEN 0 ELSE 1 END AS x FROM (SELECT DISTINCT train_id FROM cells) t CROSS JOIN range(0, 120) AS r(bin) LEFT JOIN cells c ON c.train_id = t.train_id AND c.bin = r.bin) SELECT train_id, bin, round(avg(x) OVER (PARTITION BY train_id ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 9) AS p FROM g")
+@query("boxcar_rates", f"WITH {_DAYS}, g AS (SELECT t.train_id, r.bin, CASE WHEN c.bin IS NULL THEN 0 ELSE 1 END AS x FROM (SELECT DISTINCT train_id FROM cells) t CROSS JOIN range(0, 120) AS r(bin) LEFT JOIN cells c ON c.train_id = t.train_id AND c.bin = r.bin), r AS (SELECT train_id, bin, sum(x) OVER (PARTITION BY train_id ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) / 9.0::DOUBLE AS p FROM g) SELECT train_id, bin, round(CASE WHEN bin < 4 THEN max(CASE WHEN bin = 4 THEN p END) OVER (PARTITION BY train_id) WHEN bin > 115 THEN max(CASE WHEN bin = 115 THEN p END) OVER (PARTITION BY train_id) ELSE p END, 9) AS p FROM r")
 def _(spark, sf):
     from pulseloom.operators import sequences
 
     cells = _day_cells(spark, sf)
-    return sequences.boxcar_rates(cells, cells.select("train_id").distinct(), 120, 4).withColumn("p", F.round("p", 9))
+    return sequences.boxcar_rates(cells, cells.select("train_id").distinct(), 120, 9).withColumn("p", F.round("p", 9))
 
 
 @query("probability_matrix")
@@ -890,15 +908,15 @@ def _(spark, sf):
 def _(spark, sf):
     from pulseloom.operators import population
 
-    t = event_trains(spark, sf).where("train_id < 20").select("train_id", (F.col("t_us") / 1e6 / 3600).alias("t"))
+    t = event_trains(spark, sf).select("train_id", (F.col("t_us") / 1e6 / 3600).alias("t"))
     return population.multiple_filter_test(t, [48.0, 96.0], 720.0, step=6.0)
 
 
-@query("standard_csd", f"WITH {SAMPLES.format(n=16)} SELECT channel::INT AS channel, k, round(-0.3 * (coalesce(lag(v) OVER w, v) - 2 * v + coalesce(lead(v) OVER w, v)) / pow(0.1, 2), 6) AS csd FROM samples WINDOW w AS (PARTITION BY k ORDER BY channel)")
+@query("standard_csd", f"WITH {SAMPLES.format(n=64)} SELECT channel::INT AS channel, k, round(-0.3 * (coalesce(lag(v) OVER w, v) - 2 * v + coalesce(lead(v) OVER w, v)) / 0.1, 6) AS csd FROM samples WINDOW w AS (PARTITION BY k ORDER BY channel)")
 def _(spark, sf):
     from pulseloom.operators import density
 
-    return density.standard_csd(vector_signals(spark, sf, 16), 0.1).withColumn("csd", F.round("csd", 6))
+    return density.standard_csd(vector_signals(spark, sf, 64), 0.1).withColumn("csd", F.round("csd", 6))
 
 
 for _method in ("delta", "step", "spline", "kernel"):
@@ -909,12 +927,12 @@ for _method in ("delta", "step", "spline", "kernel"):
 
         from pulseloom.operators import density
 
-        z = np.arange(1, 17) * 0.1
+        z = np.arange(1, 65) * 0.1
         m = {
-            "delta": lambda: density.delta_matrix(z, 0.5), "step": lambda: density.step_matrix(z, 0.5), "spline": lambda: density.spline_matrix(z, 0.5, np.linspace(0.1, 1.6, 31)),
-            "kernel": lambda: density.kernel_matrix(z[:, None], np.linspace(0.1, 1.6, 31)[:, None], 0.15, 1e-3),
+            "delta": lambda: density.delta_matrix(z, 0.5), "step": lambda: density.step_matrix(z, 0.5), "spline": lambda: density.spline_matrix(z, 0.5, np.linspace(0.1, 6.4, 127)),
+            "kernel": lambda: density.kernel_matrix(z[:, None], np.linspace(0.1, 6.4, 127)[:, None], 0.15, 1e-3),
         }[method]()
-        return density.apply_matrix(vector_signals(spark, sf, 16), m)
+        return density.apply_matrix(vector_signals(spark, sf, 64), m)
 
 
 @query("latent_trajectories")

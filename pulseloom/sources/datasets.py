@@ -29,7 +29,14 @@ def _granger_pair(spark: SparkSession, length: int = 30_000, seed: int = 0) -> D
     return autoregressive(spark, PAIR, length, seed)
 
 
+def _granger_triple(spark: SparkSession, length: int = 30_000, direct: bool = False, seed: int = 0) -> DataFrame:
+    from pulseloom.operators.generators import driven_triple
+
+    return driven_triple(spark, length, direct, seed)
+
+
 register("granger_pair", _granger_pair)
+register("granger_triple", _granger_triple)
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

@@ -191,3 +191,142 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("hist").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_normalized_cross_correlation_points_from_the_earlier_train(spark):
+    spikes = spark.createDataFrame([(0, t * 1000) for t in (3, 4, 5)] + [(1, t * 1000) for t in (8, 9, 10)], "train_id int, t_us long")
+    b = binning.Binned.of(spikes, spikes.select("train_id").distinct(), bin_us=1000, n_bins=20, t_start_us=0)
+    got = {(r.i, r.j, r.delay): r.ncc for r in correlation.normalized_cross_correlation(b, (-5, 5)).collect()}
+    assert got[0, 1, -5] == pytest.approx(1.1176470588) and got[1, 0, 5] == pytest.approx(1.1176470588)
+
+
+def test_pairs_without_coincidence_have_values(spark):
+    spikes = spark.createDataFrame([(0, 1_000), (1, 30_000)], "train_id int, t_us long")
+    assert correlation.spike_time_tiling(spikes, 5_000, 0, 50_000).first().sttc == pytest.approx(-(0.12 + 0.2) / 2)
+    b = binning.Binned.of(spikes, spikes.select("train_id").distinct(), bin_us=10_000, n_bins=5, t_start_us=0)
+    assert {(r.i, r.j): r.value for r in correlation.covariance(b).collect()}[0, 1] == pytest.approx(-1 / 20)
+    assert {(r.i, r.j): r.value for r in correlation.correlation(b).collect()}[0, 1] == pytest.approx(-0.25)
+
+
+@pytest.mark.parametrize("spacing", [1.0, 1e-4])
+def test_current_source_density_of_a_dipole(spark, spacing):
+    from pulseloom.operators import density
+
+    sources = [0.0] * 21
+    sources[7], sources[9], sources[11] = -0.5, 1.0, -0.5
+    matrix = np.zeros((21, 21))
+    for k in range(21):
+        matrix[k, k] = -1.0 if k in (0, 20) else -2.0
+        if 0 < k < 20:
+            matrix[k, k - 1] = matrix[k, k + 1] = 1.0
+    potential = np.linalg.solve(matrix * -0.3 / spacing, sources)
+    samples = spark.createDataFrame([(k, 0, float(v)) for k, v in enumerate(potential)], "channel int, k int, v double")
+    got = {r.channel: r.csd for r in density.standard_csd(samples, spacing, edges=False).collect()}
+    assert [got[k] for k in range(21)] == pytest.approx(sources, abs=1e-9)
+
+
+def test_distances_against_their_definitions(spark):
+    import math
+    import random
+
+    from pulseloom.operators import distances
+
+    r = random.Random(3)
+    trains = {k: sorted(r.randrange(10**6) for _ in range(r.randrange(1, 9))) for k in range(7)}
+    trains[7] = trains[6]
+    spikes = spark.createDataFrame([(k, t) for k, ts in trains.items() for t in ts], "train_id int, t_us long")
+    distances.BLOCK, before = 3, distances.BLOCK
+
+    def edit(a, b, q):
+        d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + q * abs(a[i - 1] - b[j - 1]) / 1e6)
+        return d[-1][-1]
+
+    s = lambda a, b: sum(math.exp(-abs(x - y) / 2e5) for x in a for y in b)
+    pairs = [(i, j) for i in trains for j in trains if i < j]
+    try:
+        for found, want in (
+            (distances.victor_purpura(spikes, 3.0), lambda a, b: edit(a, b, 3.0)), (distances.victor_purpura(spikes, math.inf), lambda a, b: len(a) + len(b)), (distances.victor_purpura(spikes, 0), lambda a, b: abs(len(a) - len(b))),
+            (distances.van_rossum(spikes, 2e5), lambda a, b: math.sqrt(max(0, s(a, a) + s(b, b) - 2 * s(a, b)))),
+        ):
+            got = {(x.i, x.j): x.distance for x in found.collect()}
+            assert sorted(got) == pairs
+            assert [got[p] for p in pairs] == pytest.approx([want(trains[i], trains[j]) for i, j in pairs], abs=1e-6)
+    finally:
+        distances.BLOCK = before
+
+
+def test_last_bin_goes_on_with_zeros(spark):
+    samples = spark.createDataFrame([("a", k, 2.0) for k in range(5)], "channel string, k int, v double")
+    assert {r.bin: r.area for r in signals.rauc(samples, None, 4).collect()} == {0: 6.0, 1: 1.0}
+
+
+def test_spike_field_coherence(spark):
+    from pulseloom.operators import spectral
+
+    r = np.random.default_rng(5)
+    counts = (r.random(2048) < 0.2).astype(float)
+    v = np.convolve(counts, [0.5, 1.0, 0.5], "same") + 0.01 * r.standard_normal(2048)
+    noise = r.standard_normal(2048)
+    samples = spark.createDataFrame([(0, k, float(x)) for k, x in enumerate(v)] + [(1, k, float(x)) for k, x in enumerate(noise)], "channel int, k int, v double")
+    spikes = spark.createDataFrame([(c, int(k)) for c in (0, 1) for k in np.flatnonzero(counts)], "channel int, k int")
+    got = spectral.spike_field_coherence(samples, spikes).toPandas()
+    assert got[(got.channel == 0) & (got.freq < 0.3)].coherence.min() > 0.9 and got[got.channel == 1].coherence.mean() < 0.25
+    assert got[got.channel == 0].freq.tolist() == pytest.approx((np.arange(129) / 256).tolist())
+
+
+def test_multitaper_cross_spectrum_is_the_plain_mean_of_tapers(spark):
+    from pulseloom.operators import spectral
+
+    x = np.random.default_rng(2).standard_normal((2, 64)) + 3
+    tapers = spectral.dpss(64, 4.0, 7)
+    f = np.fft.rfft(x[:, None] * tapers[None], axis=-1)
+    want = (np.conj(f[0]) * f[1]).mean(axis=0)
+    samples = spark.createDataFrame([(0, c, k, float(x[c, k])) for c in range(2) for k in range(64)], "recording int, channel int, k int, v double")
+    got = spectral.multitaper_cross_spectrum(samples).where("i = 0 AND j = 1").orderBy("freq").toPandas()
+    assert (got.re + 1j * got.im).to_numpy() == pytest.approx(want)
+
+
+def test_small_helpers(spark):
+    from pulseloom.functions import units
+    from pulseloom.operators import causality, density, generators, latent, rates
+
+    assert units.same_units(["ms", "ms"]) and not units.same_units(["ms", "s"])
+    with pytest.raises(ValueError):
+        units.same_units(["apples"])
+    newer = units.renamed_arguments(binsize="bin_size")(lambda bin_size: bin_size)
+    with pytest.warns(DeprecationWarning):
+        assert newer(binsize=3) == 3
+    assert rates.soft_log(rates.soft_exp(0.7)) == pytest.approx(0.7) and rates.soft_exp(200) == 200
+    assert causality._rounded(0.1234, 2000) == 0.12
+    m = spark.createDataFrame([(0, 1, 2.0), (1, 0, 2.0), (1, 1, 5.0)], "i int, j int, value double")
+    assert sequences.is_symmetric(m) and not sequences.is_symmetric(m.where("i < j"))
+    held = sequences.step_values(spark.createDataFrame([(0, 10, 1.0), (0, 20, 2.0)], "channel int, t_us long, v double"), spark.createDataFrame([(0, 5), (0, 10), (0, 19), (0, 30)], "channel int, t_us long"))
+    assert [r.v for r in held.orderBy("t_us").collect()] == [1.0, 1.0, 1.0, 2.0]
+    toeplitz = np.kron(np.exp(-np.abs(np.subtract.outer(range(5), range(5))) / 2), np.eye(2))
+    inverse, logdet = latent.inverse_persymmetric(toeplitz, 2)
+    assert inverse == pytest.approx(np.linalg.inv(toeplitz)) and logdet == pytest.approx(np.linalg.slogdet(toeplitz)[1])
+    counts = spark.createDataFrame([(0, 1, b, 1) for b in range(10)] + [(1, 1, 0, 1)], "trial_id int, unit int, bin int, n int")
+    parts = latent.cut_trials(counts, spark.createDataFrame([(0, 10), (1, 3)], "trial_id int, length int"), 4)
+    assert sorted((r.segment_id, r.bin) for r in parts.collect()) == [(s, b) for s in range(3) for b in range(4)]
+    assert density.dipole(np.array([0.5]))[0] == pytest.approx(0) and density.dipole(np.array([0.7]))[0] > 0
+    z = np.arange(8) * 0.1
+    samples = spark.createDataFrame([(c, 0, float(c * c)) for c in range(8)], "channel int, k int, v double")
+    assert {r.channel: r.csd for r in density.estimate_csd(samples, z).collect()}[3] == pytest.approx(-0.3 * 2 / 0.1)
+    assert all(density.estimate_csd(samples, z, m).count() == 8 for m in ("delta", "step", "spline", "kernel"))
+    with pytest.raises(ValueError):
+        density.estimate_csd(samples, z, "other")
+    assert generators.homogeneous_poisson(spark, 20, 50.0, 0.0, 2.0).count() == pytest.approx(2000, rel=0.15)
+    assert generators.homogeneous_gamma(spark, 20, 2.0, 100.0, 0.0, 2.0).count() == pytest.approx(2000, rel=0.15)
+    triple = generators.driven_triple(spark, 500)
+    assert triple.count() == 1500 and triple.select("channel").distinct().count() == 3
+
+
+def test_surrogates_by_name(spark):
+    spikes = spark.createDataFrame([(0, 1000 * k * k % 90_000) for k in range(1, 30)], "train_id int, t_us long").distinct()
+    n = spikes.count()
+    for method in ("bin_shuffling", "trial_shifting", "jitter_spikes"):
+        out = surrogates.surrogates(spikes, method, 2, 10_000, 0, 100_000)
+        assert out.columns == ["surrogate", "train_id", "t_us"] and 0.8 * 2 * n <= out.count() <= 2 * n
