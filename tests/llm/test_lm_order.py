@@ -43,6 +43,7 @@ def test_packing():
         x = np.array(sorted(keys), np.uint64)
         assert lm.unpacked(lm.packed(x)).tolist() == x.tolist()
     x = np.array([0, 1, 254, 255, 256, 2**40])
-    assert lm.unpacked_counts(lm.packed_counts(x), 6).tolist() == x.tolist()
+    for usual in (0, 1, 7):
+        assert lm.unpacked_counts(lm.packed_counts(x, usual), 6, usual).tolist() == x.tolist()
     many = np.unique(np.array([r.getrandbits(64) for _ in range(100000)], np.uint64))
     assert len(lm.packed(many)) < 0.85 * 8 * len(many)
