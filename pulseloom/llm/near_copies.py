@@ -3,8 +3,8 @@
 Candidates come from SimHash fingerprints of the shingles, searched by the generalised pigeonhole principle
 (``simhash``): PRINTS independent fingerprints, each linked at DISTANCE or fewer differing bits. Of the pairs at
 0.8 or more in the given tables one such fingerprint links 89 %; the README says what two do. What the links connect is then verified: within each connected part, texts are compared by
-the exact Jaccard similarity of their shingles, breadth first, and trees of the true links are
-emitted. Parts of more than BLOCK_BYTES of text are cut into slices whose pairs are compared
+the exact Jaccard similarity of their shingles, breadth first, and edges to the smallest id of
+what true links connect are emitted. Parts of more than BLOCK_BYTES of text are cut into slices whose pairs are compared
 block by block in different tasks. A text is removed only if a chain of verified links leads to an earlier one.
 
 Texts with the same words are one class and take part once. A document is a key and a text; documents are
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pulseloom.llm.common import MASK64, BoundedMemo, claim, cut, mix64, released, scratch_name, small_batches, store
 from pulseloom.llm.components import connected_components
 from pulseloom.llm.simhash import links as close_prints
-from pulseloom.llm.simhash import majority, tree
+from pulseloom.llm.simhash import majority, star
 
 SHINGLE, LEAST = 5, 0.8
 PRINTS, DISTANCE = 2, 11
@@ -101,7 +101,7 @@ def forest(sets: list[np.ndarray], ids: list[int], least: float = LEAST) -> list
             members += found.tolist()
             queue += found.tolist()
             rest = np.setdiff1d(rest, found, assume_unique=True)
-        edges += tree(name[members])
+        edges += star(name[members])
     return edges
 
 

@@ -14,8 +14,8 @@ verified on all 64 bits.
 
 Copies share a fingerprint and take part once. Buckets beyond BUCKET fingerprints are cut into
 slices whose pairs are checked block by block in different tasks. Within a bucket or
-block, links are followed breadth first and what they connect is emitted as a binary tree, never as all
-pairs or a star; that loses no connection. Nothing but bit counts and one number a round reaches the driver.
+block, links are followed breadth first and what they connect is emitted as edges to its smallest id, never as
+all pairs; that loses no connection, and the same documents give the same edges wherever they meet. Nothing but bit counts and one number a round reaches the driver.
 
 Defined results: null or empty texts have fingerprint zero and are linked like any other; repeated
 rows are grouped; a null key is the smallest, and comes back as null; an empty table gives an empty table;
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import NULL_ID, cut, mix64, released, shuffle_partitions, small_batches
+from pulseloom.llm.common import NULL_ID, cut, released, shuffle_partitions, small_batches
 from pulseloom.llm.components import connected_components
 
 BITS = 64
@@ -207,10 +207,11 @@ def _rows(part: int, keys: np.ndarray, fp: np.ndarray, ids: np.ndarray, probe: b
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(keys.view(np.int64)), pa.array(fp), pa.array(ids), pa.array(np.full(n, probe))], names=["part", "bucket", "fp", "class_id", "probe"])
 
 
-def tree(ids: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect some ids: a binary tree with smaller ids nearer its root, so no id has more than three."""
-    s = np.sort(ids).tolist()
-    return [(s[(k - 1) // 2], s[k]) for k in range(1, len(s))]
+def star(ids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect some ids: from the smallest to each other. Where the same ids meet in several buckets, these
+    are the same edges, which ``distinct`` makes one."""
+    low = int(ids.min())
+    return [(low, x) for x in ids.tolist() if x != low]
 
 
 def forest(fp: np.ndarray, ids: np.ndarray, probe: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -237,18 +238,18 @@ def forest(fp: np.ndarray, ids: np.ndarray, probe: np.ndarray, distance: int) ->
                 members += found.tolist()
                 queue += found.tolist()
                 rest = rest[~hit]
-        edges += tree(at[members])
+        edges += star(at[members])
         c += 1
     if probe.any() and len(x):
+        lowest = np.full(int(label.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, label, at)
         px, pid = fp[probe].view(np.uint64), ids[probe]
         step = max(1, (1 << 21) // len(x))
         for lo in range(0, len(px), step):
             r, k = np.nonzero(np.bitwise_count(px[lo : lo + step, None] ^ x[None, :]) <= distance)
-            if len(r):  # one edge to each of the connected parts that a probe meets, to any of its members
-                k = k[(by := np.argsort(mix64((r * 31 + k).astype(np.uint64))))]
-                r = r[by]
+            if len(r):  # one edge to each of the connected parts that a probe meets, to its smallest id
                 _, first = np.unique(r * (c + len(x) + 1) + label[k], return_index=True)
-                edges += [(int(pid[lo + r[q]]), int(at[k[q]])) for q in first]
+                edges += [(int(pid[lo + r[q]]), int(lowest[label[k[q]]])) for q in first]
     return edges
 
 
