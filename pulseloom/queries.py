@@ -456,9 +456,9 @@ def _(spark, sf):
     return signals.zscore(user_signal(spark, sf)).select("channel", "k", F.round("v", 6).alias("v"))
 
 
-@query("signal_cross_correlation", f"WITH {SAMPLES.format(n=4)}, m AS (SELECT channel, avg(v) AS a, stddev_pop(v) AS s, count(*) AS n FROM samples GROUP BY 1), z AS (SELECT channel, k, n, (v - a) / s AS v FROM samples JOIN m USING (channel)) SELECT a.channel::INT AS i, b.channel::INT AS j, b.k - a.k AS lag, round(sum(a.v * b.v) / (any_value(a.n) - abs(b.k - a.k)), 6) AS value FROM z a JOIN z b ON b.k BETWEEN a.k - 3 AND a.k + 3 WHERE (a.channel, b.channel) IN ((0, 1), (2, 3)) GROUP BY a.channel, b.channel, b.k - a.k")
+@query("signal_cross_correlation", f"WITH {SAMPLES.format(n=64)}, m AS (SELECT channel, avg(v) AS a, stddev_pop(v) AS s, count(*) AS n FROM samples GROUP BY 1), z AS (SELECT channel, k, n, (v - a) / s AS v FROM samples JOIN m USING (channel)) SELECT a.channel::INT AS i, b.channel::INT AS j, b.k - a.k AS lag, round(sum(a.v * b.v) / (any_value(a.n) - abs(b.k - a.k)), 6) AS value FROM z a JOIN z b ON b.k BETWEEN a.k - 3 AND a.k + 3 WHERE a.channel % 2 = 0 AND b.channel = a.channel + 1 GROUP BY a.channel, b.channel, b.k - a.k")
 def _(spark, sf):
-    return signals.cross_correlation(vector_signals(spark, sf, 4), [(0, 1), (2, 3)], 3).withColumn("value", F.round("value", 6))
+    return signals.cross_correlation(vector_signals(spark, sf), [(c, c + 1) for c in range(0, 64, 2)], 3).withColumn("value", F.round("value", 6))
 
 
 @query("rauc", f"WITH {VALUES_}, m AS (SELECT channel, avg(v) AS a FROM vals GROUP BY 1), x AS (SELECT channel, k, k // 10 AS bin, abs(v - a) AS v, count(*) OVER (PARTITION BY channel, k // 10) AS many FROM vals JOIN m USING (channel)), p AS (SELECT channel, bin, (v + coalesce(lead(v) OVER (PARTITION BY channel, bin ORDER BY k), CASE WHEN many < 10 THEN 0 END)) / 2 AS t FROM x) SELECT channel, bin, round(coalesce(sum(t), 0), 6) AS area FROM p GROUP BY ALL")
@@ -490,10 +490,10 @@ def _(spark, sf):
     return signals.snippets(x, signals.peak_detection(x, 60.0), 2, 4)
 
 
-@query("spike_triggered_average", f"WITH {SAMPLES.format(n=8)}, e AS (SELECT event_id % 8 AS channel, (event_id * 7) % 500 AS k FROM events WHERE event_id % 11 = 0), h AS (SELECT max(k) AS hi FROM samples) SELECT s.channel::INT AS channel, (s.k - e.k)::INT AS \"offset\", round(avg(s.v), 6) AS mean, count(*) AS used FROM e JOIN samples s ON s.channel = e.channel AND s.k BETWEEN e.k - 5 AND e.k + 4, h WHERE e.k - 5 >= 0 AND e.k + 4 <= hi GROUP BY ALL")
+@query("spike_triggered_average", f"WITH {SAMPLES.format(n=64)}, e AS (SELECT event_id % 64 AS channel, (event_id * 7) % 500 AS k FROM events), h AS (SELECT max(k) AS hi FROM samples) SELECT s.channel::INT AS channel, (s.k - e.k)::INT AS \"offset\", round(avg(s.v), 6) AS mean, count(*) AS used FROM e JOIN samples s ON s.channel = e.channel AND s.k BETWEEN e.k - 5 AND e.k + 4, h WHERE e.k - 5 >= 0 AND e.k + 4 <= hi GROUP BY ALL")
 def _(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 11 = 0").select((F.col("event_id") % 8).cast("int").alias("channel"), (F.col("event_id") * 7 % 500).alias("k"))
-    return signals.spike_triggered_average(vector_signals(spark, sf, 8), e, 5, 5).withColumn("mean", F.round("mean", 6))
+    e = table(spark, sf, "events").select((F.col("event_id") % 64).cast("int").alias("channel"), (F.col("event_id") * 7 % 500).alias("k"))
+    return signals.spike_triggered_average(vector_signals(spark, sf), e, 5, 5).withColumn("mean", F.round("mean", 6))
 
 
 @query("waveform_width", "WITH w AS (SELECT vec_id AS spike_id, unnest(range(0, 64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings), t AS (SELECT spike_id, k, row_number() OVER (PARTITION BY spike_id ORDER BY v, k) AS o FROM w WHERE k < 48), p AS (SELECT w.spike_id, w.k, t.k AS trough, row_number() OVER (PARTITION BY w.spike_id ORDER BY v DESC, w.k) AS o FROM w JOIN t ON t.spike_id = w.spike_id AND t.o = 1 AND w.k >= t.k) SELECT spike_id, (k - trough)::INT AS width FROM p WHERE o = 1")
@@ -519,34 +519,35 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(signals.phase_difference(F.col("value") / 10, F.col("user_id").cast("double")), 6).alias("d"))
 
 
-@query("phase_locking_value", f"WITH {SAMPLES.format(n=16)}, p AS (SELECT a.trial_id, a.channel // 2 AS k, a.v * 3 - b.v * 3 AS d FROM samples a JOIN samples b ON a.k = b.k AND b.channel = a.channel + 1 WHERE a.channel % 2 = 0) SELECT k::BIGINT AS k, round(sqrt(pow(avg(cos(d)), 2) + pow(avg(sin(d)), 2)), 6) AS plv FROM p GROUP BY 1")
+@query("phase_locking_value", f"WITH {SAMPLES.format(n=64)}, p AS (SELECT a.trial_id, a.channel // 2 AS k, a.v * 3 - b.v * 3 AS d FROM samples a JOIN samples b ON a.k = b.k AND b.channel = a.channel + 1 WHERE a.channel % 2 = 0) SELECT k::BIGINT AS k, round(sqrt(pow(avg(cos(d)), 2) + pow(avg(sin(d)), 2)), 6) AS plv FROM p GROUP BY 1")
 def _(spark, sf):
-    x = vector_signals(spark, sf, 16)
+    x = vector_signals(spark, sf)
     pair = x.groupBy("trial_id", F.col("k").alias("rep"), F.floor(F.col("channel") / 2).cast("long").alias("k")).agg(F.max(F.when(F.col("channel") % 2 == 0, F.col("v") * 3)).alias("a"), F.max(F.when(F.col("channel") % 2 == 1, F.col("v") * 3)).alias("b"))
     return signals.phase_locking(pair).withColumn("plv", F.round("plv", 6))
 
 
-@query("spike_triggered_phase", f"WITH {SAMPLES.format(n=2)}, a AS (SELECT k, max(CASE WHEN channel = 0 THEN v END) AS re, max(CASE WHEN channel = 1 THEN v END) AS im FROM samples GROUP BY 1), e AS (SELECT event_id, (event_id % 4500) / 10.0 + 0.25 AS t FROM events) SELECT event_id, round(atan2(im, re), 6) AS phase, round(sqrt(re * re + im * im), 6) AS amplitude FROM e JOIN a ON a.k = floor(e.t)")
+@query("spike_triggered_phase", f"WITH {SAMPLES.format(n=64)}, a AS (SELECT channel // 2 AS channel, k, max(CASE WHEN channel % 2 = 0 THEN v END) AS re, max(CASE WHEN channel % 2 = 1 THEN v END) AS im FROM samples GROUP BY ALL), e AS (SELECT event_id, event_id % 32 AS channel, (event_id % 4500) / 10.0 + 0.25 AS t FROM events) SELECT event_id, round(atan2(im, re), 6) AS phase, round(sqrt(re * re + im * im), 6) AS amplitude FROM e JOIN a ON a.channel = e.channel AND a.k = floor(e.t)")
 def _(spark, sf):
-    x = vector_signals(spark, sf, 2).groupBy("k").agg(F.max(F.when(F.col("channel") == 0, F.col("v"))).alias("re"), F.max(F.when(F.col("channel") == 1, F.col("v"))).alias("im")).withColumn("channel", F.lit(0))
-    e = table(spark, sf, "events").select(F.lit(0).alias("channel"), (F.col("event_id") % 4500 / 10.0 + 0.25).alias("t"), "event_id")
+    part = lambda odd: F.max(F.when(F.col("channel") % 2 == odd, F.col("v")))
+    x = vector_signals(spark, sf).groupBy("k", F.floor(F.col("channel") / 2).cast("int").alias("pair")).agg(part(0).alias("re"), part(1).alias("im")).withColumnRenamed("pair", "channel")
+    e = table(spark, sf, "events").select((F.col("event_id") % 32).cast("int").alias("channel"), (F.col("event_id") % 4500 / 10.0 + 0.25).alias("t"), "event_id")
     found = signals.spike_phase(x, e.select("channel", "t").distinct(), 1.0)
     return e.join(found, ["channel", "t"]).select("event_id", F.round("phase", 6).alias("phase"), F.round("amplitude", 6).alias("amplitude"))
 
 
 @query("hilbert")
 def _(spark, sf):
-    return signals.hilbert(vector_signals(spark, sf, 4))
+    return signals.hilbert(vector_signals(spark, sf))
 
 
 @query("butter")
 def _(spark, sf):
-    return signals.butter(vector_signals(spark, sf, 4), 0.05, 0.2)
+    return signals.butter(vector_signals(spark, sf), 0.05, 0.2)
 
 
 @query("wavelet")
 def _(spark, sf):
-    return signals.wavelet(vector_signals(spark, sf, 2), [0.05, 0.1, 0.2])
+    return signals.wavelet(vector_signals(spark, sf), [0.05, 0.1, 0.2])
 
 
 # ---- surrogates ----
@@ -633,12 +634,11 @@ def _recordings(spark: SparkSession, sf: str) -> DataFrame:
 _PI2 = "2 * pi()"
 
 
-@query("periodogram", f"WITH {SAMPLES.format(n=2)}, m AS (SELECT channel, avg(v) AS a, count(*) AS n FROM samples WHERE k < 256 GROUP BY 1), x AS (SELECT channel, k, (v - a) * (0.5 - 0.5 * cos({_PI2} * k / 256)) AS v FROM samples JOIN m USING (channel) WHERE k < 256), f AS (SELECT channel, b, sum(v * cos({_PI2} * b * k / 256)) AS re, sum(v * sin({_PI2} * b * k / 256)) AS im FROM x, range(0, 129) AS r(b) GROUP BY ALL), w AS (SELECT sum(pow(0.5 - 0.5 * cos({_PI2} * i / 256), 2)) AS s FROM range(0, 256) AS q(i)) SELECT channel::INT AS channel, b / 256.0::DOUBLE AS freq, round(CASE WHEN b IN (0, 128) THEN 1 ELSE 2 END * (re * re + im * im) / s, 6) AS psd FROM f, w")
+@query("periodogram", f"WITH {SAMPLES.format(n=64)}, m AS (SELECT channel, avg(v) AS a, count(*) AS n FROM samples GROUP BY 1), x AS (SELECT channel, n, o, (v - a) * (0.5 - 0.5 * cos({_PI2} * o / n)) AS v FROM (SELECT channel, v, row_number() OVER (PARTITION BY channel ORDER BY k) - 1 AS o FROM samples) JOIN m USING (channel)), f AS (SELECT channel, n, b, sum(v * cos({_PI2} * ((b * o) % n) / n)) AS re, sum(v * sin({_PI2} * ((b * o) % n) / n)) AS im FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS b FROM x) GROUP BY ALL), w AS (SELECT channel, sum(pow(0.5 - 0.5 * cos({_PI2} * o / n), 2)) AS s FROM x GROUP BY 1) SELECT channel::INT AS channel, b / n::DOUBLE AS freq, round(CASE WHEN b = 0 OR 2 * b = n THEN 1 ELSE 2 END * (re * re + im * im) / s, 6) AS psd FROM f JOIN w USING (channel)")
 def _(spark, sf):
     from pulseloom.operators import spectral
 
-    x = vector_signals(spark, sf, 2).where("k < 256")
-    return spectral.welch_psd(x, length=256).withColumn("psd", F.round("psd", 6))
+    return spectral.welch_psd(vector_signals(spark, sf), n_segments=1).withColumn("psd", F.round("psd", 6))
 
 
 @query("welch_psd")
@@ -683,8 +683,9 @@ def _(spark, sf):
     from pulseloom.operators import spectral
 
     w = Window.partitionBy("trial_id", "channel").orderBy("k")
-    x = vector_signals(spark, sf, 2).withColumn("k", F.row_number().over(w)).where("k <= 32")
-    return spectral.weighted_phase_lag_index(x)
+    x = vector_signals(spark, sf).withColumn("k", F.row_number().over(w))
+    common = x.groupBy("trial_id").agg(F.max("k").alias("n")).agg(F.min("n").alias("common"))
+    return spectral.weighted_phase_lag_index(x.crossJoin(F.broadcast(common)).where("k <= common").drop("common"))
 
 
 @query("pairwise_granger")
@@ -698,7 +699,8 @@ def _(spark, sf):
 def _(spark, sf):
     from pulseloom.operators import causality
 
-    x = vector_signals(spark, sf, 3).withColumn("recording", F.lit(0))
+    x = vector_signals(spark, sf).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    x = x.select(F.pmod(F.col("channel") - F.col("part"), F.lit(64)).alias("recording"), F.col("part").alias("channel"), "k", "v")
     return causality.conditional_granger(x, "recording", 3)
 
 
@@ -765,11 +767,11 @@ def _(spark, sf):
     return patterns.context(_mining_cells(spark, sf), _W)
 
 
-@query("pattern_pairs", f"WITH {SPIKES}, cells AS (SELECT DISTINCT train_id AS unit, t_us // {HOUR} AS bin FROM spikes WHERE train_id < 12), s AS (SELECT a.unit AS a, b.unit AS b, count(*) AS support FROM cells a JOIN cells b ON a.bin = b.bin AND a.unit < b.unit GROUP BY ALL) SELECT a, b, support FROM s WHERE support >= 5")
+@query("pattern_pairs", f"WITH {SPIKES}, cells AS (SELECT DISTINCT train_id AS unit, t_us // {HOUR} AS bin FROM spikes), s AS (SELECT a.unit AS a, b.unit AS b, count(*) AS support FROM cells a JOIN cells b ON a.bin = b.bin AND a.unit < b.unit GROUP BY ALL), t AS (SELECT a.unit AS a, b.unit AS b, count(*) AS support FROM cells a JOIN cells b ON a.bin = b.bin AND a.unit < b.unit JOIN cells c ON c.bin = a.bin AND c.unit <> a.unit AND c.unit <> b.unit GROUP BY a.unit, b.unit, c.unit) SELECT a, b, support FROM s WHERE support >= 5 AND (a, b, support) NOT IN (SELECT (a, b, support) FROM t)")
 def _(spark, sf):
     from pulseloom.operators import patterns
 
-    cells = event_trains(spark, sf).where("train_id < 12").select(F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
+    cells = event_trains(spark, sf).select(F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
     out = patterns.closed_sets(patterns.context(cells, 1), 1, 2, 5, 2)
     return out.where(F.size("itemset") == 2).select(F.col("itemset")[0].alias("a"), F.col("itemset")[1].alias("b"), "support")
 
@@ -777,7 +779,7 @@ def _(spark, sf):
 def _mined(spark: SparkSession, sf: str) -> DataFrame:
     from pulseloom.operators import patterns
 
-    cells = event_trains(spark, sf).where("train_id < 12").select(F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
+    cells = event_trains(spark, sf).select(F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
     return patterns.drop_window_subsets(patterns.closed_sets(patterns.context(cells, 2), 2, 2, 5, 3), 2)
 
 
@@ -792,7 +794,7 @@ def _(spark, sf):
 def _(spark, sf):
     from pulseloom.operators import patterns
 
-    spikes = event_trains(spark, sf).where("train_id < 12")
+    spikes = event_trains(spark, sf)
     moved = surrogates.dither_spikes(spikes, 3 * HOUR, 0, SPAN_US, 10, seed=1)
     cells = moved.select("surrogate", F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
     found = patterns.closed_sets(patterns.context(cells, 2, ["surrogate"]), 2, 2, 5, 3, by=["surrogate"])
@@ -806,28 +808,28 @@ def _(spark, sf):
     return patterns.stability(_mined(spark, sf), 50).select("itemset", "support", "stability")
 
 
-@query("pair_coincidences", f"WITH {BINNED} SELECT a.train_id AS i, b.train_id AS j, b.bin - a.bin AS lag, sum(least(a.n, b.n))::BIGINT AS n FROM binned a JOIN binned b ON b.bin BETWEEN a.bin - 2 AND a.bin + 2 AND a.train_id < b.train_id WHERE a.train_id < 30 AND b.train_id < 30 GROUP BY ALL")
+@query("pair_coincidences", f"WITH {BINNED} SELECT a.train_id AS i, b.train_id AS j, b.bin - a.bin AS lag, sum(least(a.n, b.n))::BIGINT AS n FROM binned a JOIN binned b ON b.bin BETWEEN a.bin - 2 AND a.bin + 2 AND a.train_id < b.train_id GROUP BY ALL")
 def _(spark, sf):
     from pulseloom.operators import patterns
 
-    return patterns.pair_coincidences(hourly(spark, sf).take(0, HOURS, 1, list(range(30))).counts, 2)
+    return patterns.pair_coincidences(hourly(spark, sf).counts, 2)
 
 
 @query("cell_assemblies")
 def _(spark, sf):
     from pulseloom.operators import patterns
 
-    b = hourly(spark, sf).take(0, HOURS, 1, list(range(60)))
+    b = hourly(spark, sf)
     return patterns.assembly_pairs(b.counts, HOURS, 3, 0.9, 3)
 
 
 # ---- sequences of synchronous events ----
 
-_DAYS = f"{SPIKES}, cells AS (SELECT DISTINCT train_id, t_us // {6 * HOUR} AS bin FROM spikes WHERE train_id < 40)"
+_DAYS = f"{SPIKES}, cells AS (SELECT DISTINCT train_id, t_us // {6 * HOUR} AS bin FROM spikes)"
 
 
 def _day_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return event_trains(spark, sf).where("train_id < 40").select("train_id", F.floor(F.col("t_us") / (6 * HOUR)).cast("long").alias("bin")).distinct()
+    return event_trains(spark, sf).select("train_id", F.floor(F.col("t_us") / (6 * HOUR)).cast("long").alias("bin")).distinct()
 
 
 @query("transactions", f"WITH {_DAYS} SELECT bin, array_to_string(list_sort(list(train_id)), ',') AS ids FROM cells GROUP BY 1")
@@ -872,7 +874,7 @@ def _(spark, sf):
 def _(spark, sf):
     from pulseloom.operators import sequences
 
-    return sequences.joint_probability_matrix(_pmat(spark, sf).where("i < 40 AND j < 40"), 5, 1, 3)
+    return sequences.joint_probability_matrix(_pmat(spark, sf), 5, 1, 3)
 
 
 @query("synchronous_event_clusters")
