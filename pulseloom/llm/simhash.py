@@ -132,7 +132,8 @@ class Plan:
 
 
 def plan(n: int, both: np.ndarray, distance: int, most: int = 8) -> Plan:
-    """Partitions and thresholds of the lowest estimated cost."""
+    """Partitions and thresholds of the lowest estimated cost. An empty table is planned as one row, as else all would be free."""
+    n = max(n, 1)
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     best: Plan | None = None

@@ -197,6 +197,13 @@ def test_plans_cover_the_distance(distance):
         assert sorted(b for g in p.groups for b in g) == list(range(64)) and sum(p.thresholds) == distance - len(p.groups) + 1
 
 
+def test_an_empty_table_is_planned_as_one_row():
+    for distance in (4, 11):
+        p = simhash.plan(0, np.zeros((64, 64)), distance)
+        assert sum(p.thresholds) == distance - len(p.groups) + 1
+        assert sum(len(simhash._flips(len(g), t)) for g, t in zip(p.groups, p.thresholds) if t > 0) < 1000
+
+
 def test_lm(spark, docs, empty):
     every = [t or "" for t in TEXTS] + [TEXTS[8]]
     words = [t.encode().lower().split() for t in every]
