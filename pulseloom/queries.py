@@ -780,7 +780,7 @@ def _mined(spark: SparkSession, sf: str) -> DataFrame:
     from pulseloom.operators import patterns
 
     cells = event_trains(spark, sf).select(F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
-    return patterns.drop_window_subsets(patterns.closed_sets(patterns.context(cells, 2), 2, 2, 5, 3), 2)
+    return patterns.drop_window_subsets(patterns.closed_sets(patterns.context(cells, 2), 2, 2, 5), 2)
 
 
 @query("closed_patterns")
@@ -797,7 +797,7 @@ def _(spark, sf):
     spikes = event_trains(spark, sf)
     moved = surrogates.dither_spikes(spikes, 3 * HOUR, 0, SPAN_US, 10, seed=1)
     cells = moved.select("surrogate", F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
-    found = patterns.closed_sets(patterns.context(cells, 2, ["surrogate"]), 2, 2, 5, 3, by=["surrogate"])
+    found = patterns.closed_sets(patterns.context(cells, 2, ["surrogate"]), 2, 2, 5, by=["surrogate"])
     return patterns.rejected(patterns.p_value_spectrum(found, 10), 0.2)
 
 
@@ -805,7 +805,16 @@ def _(spark, sf):
 def _(spark, sf):
     from pulseloom.operators import patterns
 
-    return patterns.stability(_mined(spark, sf), 50).select("itemset", "support", "stability")
+    cells = event_trains(spark, sf).select(F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
+    return patterns.stability(_mined(spark, sf), patterns.context(cells, 2), 50).select("itemset", "support", "intensional", "extensional")
+
+
+@query("spade_patterns")
+def _(spark, sf):
+    from pulseloom.operators import patterns
+
+    cells = event_trains(spark, sf).select(F.col("train_id").alias("unit"), F.floor(F.col("t_us") / HOUR).cast("long").alias("bin"))
+    return patterns.as_patterns(patterns.spade(cells, 2, n_subsets=50, stability_above=(0.9, 0.9), min_support=5), 2, HOUR)
 
 
 @query("pair_coincidences", f"WITH {BINNED} SELECT a.train_id AS i, b.train_id AS j, b.bin - a.bin AS lag, sum(least(a.n, b.n))::BIGINT AS n FROM binned a JOIN binned b ON b.bin BETWEEN a.bin - 2 AND a.bin + 2 AND a.train_id < b.train_id GROUP BY ALL")

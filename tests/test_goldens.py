@@ -110,6 +110,57 @@ def test_patterns_by_hand(spark):
     assert patterns.reduce_sets([{"itemset": [0, 1], "support": 5}, {"itemset": [0, 1, 2], "support": 5}]) == [{"itemset": [0, 1, 2], "support": 5}]
 
 
+@pytest.mark.parametrize("hot", [200_000, 3])
+def test_closed_sets_against_brute_force(spark, monkeypatch, hot):
+    from itertools import combinations
+
+    monkeypatch.setattr(patterns, "HOT_WINDOWS", hot)
+    rng = np.random.default_rng(3)
+    held = {w: sorted(set(rng.integers(0, 9, 5).tolist()) | ({0} if w % 3 else set())) for w in range(70)}
+    items = spark.createDataFrame([(w, x) for w, xs in held.items() for x in xs], "window long, item long")
+    want = {}
+    for k in range(1, 10):
+        for s in combinations(range(9), k):
+            at = tuple(w for w, xs in held.items() if set(s) <= set(xs))
+            if len(at) >= 2 and set.intersection(*(set(held[w]) for w in at)) == set(s):
+                want[s] = at
+    for least, most in ((1, None), (2, None), (2, 3)):
+        found = {tuple(r.itemset): tuple(r.windows) for r in patterns.closed_sets(items, 1, least, 2, most).collect()}
+        assert found == {s: at for s, at in want.items() if least <= len(s) <= (most or 9)}
+    sets = patterns.closed_sets(items, 1, 2, 4)
+    for r in patterns.stability(sets, items, 4000).collect():
+        if r.support > 10:
+            continue
+        subsets = [c for k in range(r.support + 1) for c in combinations(r.windows, k)]
+        same = sum(set.intersection(set(range(9)), *(set(held[w]) for w in c)) == set(r.itemset) for c in subsets) / len(subsets)
+        parts = [c for k in range(len(r.itemset) + 1) for c in combinations(r.itemset, k)]
+        beside = sum([w for w in held if set(c) <= set(held[w])] == list(r.windows) for c in parts) / len(parts)
+        assert r.intensional == pytest.approx(same, abs=0.05) and r.extensional == pytest.approx(beside, abs=0.05)
+
+
+def test_spade_keeps_what_surrogates_do_not_reach(spark):
+    rng = np.random.default_rng(5)
+    noise = [(u, int(b)) for u in range(5) for b in rng.choice(400, 25, replace=False)]
+    cells = spark.createDataFrame(sorted({*noise, *((u, 20 * r + 3 + u) for r in range(12) for u in range(3))}), "unit long, bin long")
+    drawn = [(k, u, int(b)) for k in range(20) for u in range(5) for b in rng.choice(400, 37 if u < 3 else 25, replace=False)]
+    drawn = spark.createDataFrame(drawn, "surrogate int, unit long, bin long")
+    for durations in (False, True):
+        found = patterns.spade(cells, 4, drawn, 20, 0.05, durations=durations, min_support=3).collect()
+        assert [0, 5, 10] in [list(r.itemset) for r in found] and len(found) <= 4
+    stable = patterns.spade(cells, 4, n_subsets=200, stability_above=(0.9, 2.0), min_support=3).collect()
+    assert [0, 5, 10] in [list(r.itemset) for r in stable]
+
+
+def test_spectrum_and_corrections(spark):
+    seen = [(0, [0, 1], 5), (0, [0, 1, 2], 7), (1, [0, 1], 4), (1, [0, 1], 6), (2, [0, 4], 3)]
+    s = spark.createDataFrame([(k, x, n) for k, x, n in seen], "surrogate int, itemset array<long>, support long")
+    assert sorted(tuple(r) for r in patterns.p_value_spectrum(s, 4).collect()) == [(2, 3, 0.75), (2, 6, 0.5), (2, 7, 0.25), (3, 7, 0.25)]
+    p = [0.001, 0.012, 0.014, 0.019, 0.03, 0.2, 0.6]  # Hommel: four could all be true, so its level is 0.0125
+    tests = spark.createDataFrame([(x,) for x in p], "p double")
+    n = {m: patterns.rejected(tests, 0.05, m).where("significant").count() for m in patterns.CORRECTIONS}
+    assert n == {"bonferroni": 1, "sidak": 1, "holm-sidak": 1, "holm": 1, "simes-hochberg": 1, "hommel": 2, "fdr_bh": 5, "fdr_by": 1, "fdr_tsbh": 5, "fdr_tsbky": 5, "none": 5}
+
+
 def test_order_survival():
     rng = np.random.default_rng(1)
     u = np.array([0.8, 0.6])
