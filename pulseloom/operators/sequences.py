@@ -39,6 +39,17 @@ def probability_matrix(imat: DataFrame, rates: DataFrame) -> DataFrame:
     return imat.join(mean, ["i", "j"]).select("i", "j", F.when(F.col("i") == F.col("j"), 0.5).otherwise(p).alias("value"))
 
 
+def probability_matrix_by_surrogates(imat: DataFrame, surrogate_cells: DataFrame, n_surrogates: int, symmetric: bool = True) -> DataFrame:
+    """(i, j, value): share of surrogates (surrogate, train_id, bin) with fewer trains in common than observed in
+    ``imat``; 0.5 on the diagonal if ``symmetric``. Only the observed pairs of bins are counted: others have no share."""
+    c = surrogate_cells.select("surrogate", "train_id", "bin").distinct()
+    drawn = c.withColumnRenamed("bin", "i").join(c.withColumnRenamed("bin", "j"), ["surrogate", "train_id"]).groupBy("surrogate", "i", "j").agg(F.count("*").alias("n"))
+    reached = drawn.join(imat, ["i", "j"]).where(F.col("n") >= F.col("value")).groupBy("i", "j").agg(F.count("*").alias("r"))
+    share = 1 - F.coalesce("r", F.lit(0)) / n_surrogates
+    value = F.when(F.col("i") == F.col("j"), F.lit(0.5)).otherwise(share) if symmetric else share
+    return imat.join(reached, ["i", "j"], "left").select("i", "j", value.alias("value"))
+
+
 def boxcar_rates(cells: DataFrame, trains: DataFrame, n_bins: int, width: int) -> DataFrame:
     """(train_id, bin, p): share of active bins in a window of ``width`` bins; the first and last ``width // 2``
     bins hold the value next to them."""

@@ -25,6 +25,31 @@ def hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
+#: Weights of the cosines of each periodic window.
+COSINES = {"boxcar": [1.0], "hann": [0.5, 0.5], "hamming": [0.54, 0.46], "blackman": [0.42, 0.5, 0.08]}
+
+
+def window(name: str, n: int) -> np.ndarray:
+    """A periodic window: a sum of cosines of alternating sign."""
+    if name not in COSINES:
+        raise ValueError(f"window is one of {sorted(COSINES)}")
+    t = 2 * np.pi * np.arange(n) / n
+    return sum((-1) ** k * a * np.cos(k * t) for k, a in enumerate(COSINES[name]))
+
+
+def detrended(seg: np.ndarray, how: str | None) -> np.ndarray:
+    """Segments [..., time] without their mean (constant) or their least-squares line (linear), or as they are."""
+    if how is None:
+        return seg
+    if how not in ("constant", "linear"):
+        raise ValueError("detrend is constant, linear or None")
+    out = seg - seg.mean(axis=-1, keepdims=True)
+    if how == "linear":
+        t = np.arange(seg.shape[-1]) - (seg.shape[-1] - 1) / 2
+        out = out - (out @ t / max(t @ t, 1e-300))[..., None] * t
+    return out
+
+
 def dpss(n: int, nw: float, k: int) -> np.ndarray:
     """k periodic discrete prolate spheroidal tapers, by the symmetric tridiagonal eigenproblem of n + 1 points."""
     m = n + 1
@@ -46,26 +71,32 @@ def _segments(x: np.ndarray, length: int, overlap: float) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, length)[::step]
 
 
-def cross_spectra(x: np.ndarray, fs: float, length: int, overlap: float, tapers: np.ndarray | None, one_sided: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def cross_spectra(x: np.ndarray, fs: float, length: int, overlap: float, tapers: np.ndarray | None, one_sided: bool = True, taper: str = "hann", detrend: str | None = "constant", scaling: str = "density", nfft: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(frequencies, spectra [i, j, f]) of channels x [i, t], averaged over segments and tapers.
 
-    Without tapers, segments are centred and windowed. ``one_sided`` doubles what has a negative frequency (with
+    Without tapers, segments are detrended, windowed, and padded with zeros to ``nfft``; they are scaled to a density, or to a power spectrum. ``one_sided`` doubles what has a negative frequency (with
     tapers, all but frequency zero)."""
-    windows = hann(length)[None] if tapers is None else tapers
+    if scaling not in ("density", "spectrum"):
+        raise ValueError("scaling is density or spectrum")
+    windows = window(taper, length)[None] if tapers is None else tapers
+    points = length if tapers is not None else nfft or length
+    if points < length:
+        raise ValueError("nfft is at least a segment's length")
     total = None
     for parts in zip(*(_segments(c, length, overlap) for c in x), strict=True):
         seg = np.array(parts)
         if tapers is None:
-            seg = seg - seg.mean(axis=1, keepdims=True)
-        f = np.fft.rfft(seg[:, None, :] * windows[None], axis=-1)
-        s = np.einsum("ikf,jkf->ijf", np.conj(f), f) / (fs * (windows**2).sum() if tapers is None else fs * len(windows))
+            seg = detrended(seg, detrend)
+        f = np.fft.rfft(seg[:, None, :] * windows[None], points, axis=-1)
+        whole = windows.sum() ** 2 if scaling == "spectrum" else fs * (windows**2).sum()
+        s = np.einsum("ikf,jkf->ijf", np.conj(f), f) / (whole if tapers is None else fs * len(windows))
         total = s if total is None else total + s
     count = len(_segments(x[0], length, overlap))
     out = total / count
-    stop = -1 if length % 2 == 0 and tapers is None else None
+    stop = -1 if points % 2 == 0 and tapers is None else None
     if one_sided:
         out[..., 1:stop] *= 2
-    return np.fft.rfftfreq(length, 1 / fs), out
+    return np.fft.rfftfreq(points, 1 / fs), out
 
 
 def _grouped(samples: DataFrame, by: str, fn, schema: str) -> DataFrame:  # noqa: ANN001
@@ -78,12 +109,12 @@ def _grouped(samples: DataFrame, by: str, fn, schema: str) -> DataFrame:  # noqa
     return samples.groupBy(by).applyInPandas(run, f"{by} {samples.schema[by].dataType.simpleString()}, {schema}")
 
 
-def welch_psd(samples: DataFrame, fs: float = 1.0, overlap: float = 0.5, **segments) -> DataFrame:  # noqa: ANN003
-    """(channel, freq, psd) of each channel by itself."""
+def welch_psd(samples: DataFrame, fs: float = 1.0, overlap: float = 0.5, taper: str = "hann", detrend: str | None = "constant", scaling: str = "density", nfft: int | None = None, **segments) -> DataFrame:  # noqa: ANN003
+    """(channel, freq, psd) of each channel by itself, by the window, trend, scale and padding of ``cross_spectra``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("k")["v"].to_numpy(float)
-        f, s = cross_spectra(x[None], fs, segment_length(len(x), fs, overlap=overlap, **segments), overlap, None)
+        f, s = cross_spectra(x[None], fs, segment_length(len(x), fs, overlap=overlap, **segments), overlap, None, True, taper, detrend, scaling, nfft)
         return pd.DataFrame({"channel": pdf["channel"].iloc[0], "freq": f, "psd": s[0, 0].real})
 
     return samples.groupBy("channel").applyInPandas(run, f"channel {samples.schema['channel'].dataType.simpleString()}, freq double, psd double")

@@ -448,6 +448,11 @@ def _(spark, sf):
     return out.select("window", "n_emp", *[F.round(c, 6).alias(c) for c in ("n_exp", "p_value", "surprise")])
 
 
+@query("unitary_surrogate_windows")
+def _(spark, sf):
+    return unitary.window_analysis_by_surrogates(unit_cells(spark, sf, HOUR // 4), 5, 96, 16, 4, [0b10100, 0b11000], 200)
+
+
 # ---- signals ----
 
 
@@ -879,6 +884,15 @@ def _(spark, sf):
     return _pmat(spark, sf)
 
 
+@query("probability_matrix_surrogates")
+def _(spark, sf):
+    from pulseloom.operators import sequences
+
+    moved = surrogates.dither_spikes(event_trains(spark, sf), 30 * HOUR, 0, SPAN_US, 20, seed=4)
+    drawn = moved.select("surrogate", "train_id", F.floor(F.col("t_us") / (6 * HOUR)).cast("long").alias("bin"))
+    return sequences.probability_matrix_by_surrogates(sequences.intersection_matrix(_day_cells(spark, sf)), drawn, 20)
+
+
 @query("joint_probability_matrix")
 def _(spark, sf):
     from pulseloom.operators import sequences

@@ -161,6 +161,42 @@ def test_spectrum_and_corrections(spark):
     assert n == {"bonferroni": 1, "sidak": 1, "holm-sidak": 1, "holm": 1, "simes-hochberg": 1, "hommel": 2, "fdr_bh": 5, "fdr_by": 1, "fdr_tsbh": 5, "fdr_tsbky": 5, "none": 5}
 
 
+def test_unitary_events_by_surrogates(spark):
+    rng = np.random.default_rng(2)
+    cells = sorted({(t, u + 1, int(b)) for t in range(6) for u in range(3) for b in rng.choice(20, 6 + u, replace=False)})
+    cells = spark.createDataFrame([*cells, *[(t, u, 25) for t in range(6) for u in (1, 2)]], "trial_id long, unit long, bin long").distinct()
+    out = {(r.window, r.pattern): r for r in unitary.window_analysis_by_surrogates(cells, 3, 40, 20, 10, [0b110, 0b111], 3000).collect()}
+    assert sorted(out) == [(w, p) for w in range(3) for p in (6, 7)]
+    assert out[0, 7].n_exp == pytest.approx(6 * 20 * 0.3 * 0.35 * 0.4, abs=0.2)
+    assert out[0, 6].n_exp == pytest.approx(6 * 20 * 0.3 * 0.35 * 0.6, abs=0.2)
+    # six trials in which both units have their one event of twenty bins at once
+    assert out[2, 6].n_emp == 6 and out[2, 6].n_exp == pytest.approx(0.3, abs=0.05) and out[2, 6].p_value == 0
+    assert out[2, 7].n_emp == 0 and out[2, 7].n_exp == 0 and out[2, 7].p_value == 1
+
+
+def test_probability_matrix_by_surrogates(spark):
+    x = spark.createDataFrame([(t, b) for t in range(3) for b in (1, 2)], "train_id long, bin long")
+    drawn = [(s, t, b) for s in range(4) for t in range(3) for b in ((1, 2) if t <= s else (1, 5 + t))]
+    imat = sequences.intersection_matrix(x)
+    p = {(r.i, r.j): r.value for r in sequences.probability_matrix_by_surrogates(imat, spark.createDataFrame(drawn, "surrogate int, train_id long, bin long"), 4).collect()}
+    assert p == {(1, 1): 0.5, (2, 2): 0.5, (1, 2): 0.5, (2, 1): 0.5}  # two of four surrogates have all three trains in both
+    p = {(r.i, r.j): r.value for r in sequences.probability_matrix_by_surrogates(imat, spark.createDataFrame(drawn, "surrogate int, train_id long, bin long"), 4, False).collect()}
+    assert p == {(1, 1): 0.0, (2, 2): 0.5, (1, 2): 0.5, (2, 1): 0.5}
+
+
+def test_welch_options():
+    t = np.arange(256)
+    x = (3 * np.cos(2 * np.pi * 8 * t / 64) + 0.5 * t + 2)[None]
+    for name in spectral.COSINES:
+        f, s = spectral.cross_spectra(x, 1.0, 64, 0.5, None, taper=name, detrend="linear", scaling="spectrum")
+        assert s[0, 0, 8].real == pytest.approx(3**2 / 2, rel=0.05)  # the power of a cosine
+    assert spectral.cross_spectra(x - x + 0.5 * t, 1.0, 64, 0.5, None, detrend="linear")[1].real.max() < 1e-20
+    f, s = spectral.cross_spectra(x, 1.0, 64, 0.5, None, nfft=128, detrend="linear")
+    assert len(f) == 65 and f[np.argmax(s[0, 0].real)] == 0.125
+    whole = spectral.cross_spectra(x, 1.0, 64, 0.5, None, detrend="linear")[1][0, 0].real
+    assert s[0, 0].real.sum() / 128 == pytest.approx(whole.sum() / 64, rel=0.02)  # padding keeps the power
+
+
 def test_order_survival():
     rng = np.random.default_rng(1)
     u = np.array([0.8, 0.6])
