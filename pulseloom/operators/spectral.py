@@ -147,12 +147,13 @@ def multitaper_cross_spectrum(samples: DataFrame, by: str = "recording", fs: flo
     return _grouped(samples, by, fn, "i int, j int, freq double, re double, im double")
 
 
-def coherence(samples: DataFrame, by: str = "recording", fs: float = 1.0, multitaper: bool = False, nw: float = 4.0, n_segments: int = 8, overlap: float = 0.5) -> DataFrame:
-    """(by, freq, coherence, phase_lag) of recordings of two channels: |S01|^2 / (S00 S11) and the angle of S01."""
+def coherence(samples: DataFrame, by: str = "recording", fs: float = 1.0, multitaper: bool = False, nw: float = 4.0, n_segments: int = 8, overlap: float = 0.5, taper: str = "hann", detrend: str | None = "constant", nfft: int | None = None) -> DataFrame:
+    """(by, freq, coherence, phase_lag) of recordings of two channels: |S01|^2 / (S00 S11) and the angle of S01.
+    Window, trend and padding are Welch's; with ``multitaper`` they are not looked at."""
 
     def fn(channels: list, x: np.ndarray) -> dict:
         length = segment_length(x.shape[1], fs, n_segments, overlap=overlap)
-        f, s = cross_spectra(x[:2], fs, length, overlap, dpss(length, nw, int(2 * nw) - 1) if multitaper else None)
+        f, s = cross_spectra(x[:2], fs, length, overlap, dpss(length, nw, int(2 * nw) - 1) if multitaper else None, taper=taper, detrend=detrend, nfft=nfft)
         return {"freq": f, "coherence": np.abs(s[0, 1]) ** 2 / (s[0, 0].real * s[1, 1].real), "phase_lag": np.angle(s[0, 1])}
 
     return _grouped(samples, by, fn, "freq double, coherence double, phase_lag double")

@@ -197,6 +197,16 @@ def test_welch_options():
     assert s[0, 0].real.sum() / 128 == pytest.approx(whole.sum() / 64, rel=0.02)  # padding keeps the power
 
 
+def test_coherence_takes_welch_options(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=256)
+    both = [("x", c, k, float(v)) for c, x in enumerate((a, 3 * a + 0.2 * np.arange(256))) for k, v in enumerate(x)]
+    samples = spark.createDataFrame(both, "recording string, channel int, k int, v double")
+    lined = spectral.coherence(samples, detrend="linear", taper="blackman", nfft=128).toPandas()
+    assert len(lined) == 65 and np.allclose(lined["coherence"], 1) and np.allclose(lined["phase_lag"], 0)
+    assert spectral.coherence(samples, taper="boxcar").toPandas()["coherence"].min() < 0.99  # the line is still there
+
+
 def test_order_survival():
     rng = np.random.default_rng(1)
     u = np.array([0.8, 0.6])
