@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,20 +52,53 @@ def detrended(seg: np.ndarray, how: str | None) -> np.ndarray:
     return out
 
 
-def dpss(n: int, nw: float, k: int) -> np.ndarray:
-    """k periodic discrete prolate spheroidal tapers, by the symmetric tridiagonal eigenproblem of n + 1 points."""
-    m = n + 1
+#: Points up to which tapers come from the dense eigenproblem; beyond, from a subspace of smooth vectors.
+DENSE_POINTS = 256
+
+
+def _dense_tapers(m: int, nw: float, k: int) -> np.ndarray:
+    """The k leading eigenvectors [taper, point] of the symmetric tridiagonal matrix, m * m numbers in memory."""
     t = np.arange(m)
     diagonal = ((m - 1 - 2 * t) / 2) ** 2 * np.cos(2 * np.pi * nw / m)
     off = t[1:] * (m - t[1:]) / 2
     values, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1))
-    out = vectors[:, np.argsort(values)[::-1][:k]].T
+    return vectors[:, np.argsort(values)[::-1][:k]].T
+
+
+def _long_tapers(m: int, nw: float, k: int) -> np.ndarray:
+    """The same vectors in memory linear in m: the band-limiting matrix, which shares them, is applied by transforms
+    to some more smooth vectors than are wanted, and the tridiagonal matrix is solved within what these span.
+
+    Its form is written by differences of neighbours, without its constant, so that nothing large cancels."""
+    x = (m - 1) / 2 - np.arange(m)
+    basis = np.linalg.qr(np.polynomial.legendre.legvander(x / (m / 2), max(k, int(2 * nw)) + 11))[0]
+    lag = np.arange(1, m)
+    band = np.sin(2 * np.pi * nw / m * lag) / (np.pi * lag)
+    points = 1 << (2 * m - 1).bit_length()
+    kernel = np.fft.rfft(np.concatenate([[2 * nw / m], band, np.zeros(points - 2 * m + 1), band[::-1]]))
+    for _ in range(3):
+        for c in range(basis.shape[1]):
+            basis[:, c] = np.fft.irfft(np.fft.rfft(basis[:, c], points) * kernel, points)[:m]
+        basis = np.linalg.qr(basis)[0]
+    off = np.arange(1, m) * (m - np.arange(1, m)) / 2
+    step = np.diff(basis, axis=0)
+    form = -2 * np.sin(np.pi * nw / m) ** 2 * (basis.T @ (basis * (x**2)[:, None])) - step.T @ (step * off[:, None])
+    values, turn = np.linalg.eigh((form + form.T) / 2)
+    return np.ascontiguousarray((basis @ turn[:, np.argsort(values)[::-1][:k]]).T)
+
+
+@lru_cache(maxsize=2)
+def dpss(n: int, nw: float, k: int) -> np.ndarray:
+    """k periodic discrete prolate spheroidal tapers, by the symmetric tridiagonal eigenproblem of n + 1 points."""
+    out = (_dense_tapers if n < DENSE_POINTS else _long_tapers)(n + 1, nw, k)
     for i, v in enumerate(out):
         # Even tapers have a positive mean, odd ones start upwards.
         flip = v.sum() < 0 if i % 2 == 0 else v[np.argmax(np.abs(v) > 1e-7 * np.abs(v).max())] < 0
         if flip:
             out[i] = -v
-    return out[:, :-1]
+    out = out[:, :-1]
+    out.flags.writeable = False
+    return out
 
 
 def _segments(x: np.ndarray, length: int, overlap: float) -> np.ndarray:

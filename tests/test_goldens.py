@@ -427,3 +427,16 @@ def test_surrogates_by_name(spark):
     for method in ("bin_shuffling", "trial_shifting", "jitter_spikes"):
         out = surrogates.surrogates(spikes, method, 2, 10_000, 0, 100_000)
         assert out.columns == ["surrogate", "train_id", "t_us"] and 0.8 * 2 * n <= out.count() <= 2 * n
+
+
+def test_long_tapers_take_memory_linear_in_their_length():
+    import tracemalloc
+
+    tracemalloc.start()
+    got = spectral.dpss(2000, 4.0, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    want = spectral._dense_tapers(2001, 4.0, 7)[:, :-1]
+    assert np.abs(np.abs(got) - np.abs(want)).max() < 1e-10
+    assert got[0].sum() > 0 and got[1][0] > 0
