@@ -440,3 +440,17 @@ def test_long_tapers_take_memory_linear_in_their_length():
     want = spectral._dense_tapers(2001, 4.0, 7)[:, :-1]
     assert np.abs(np.abs(got) - np.abs(want)).max() < 1e-10
     assert got[0].sum() > 0 and got[1][0] > 0
+
+
+@pytest.mark.parametrize("channels", [2, 1])
+def test_multitaper_spectra_of_long_segments_take_little_memory(channels):
+    import tracemalloc
+
+    x = np.random.default_rng(1).normal(size=(channels, 2500))
+    tracemalloc.start()
+    f, s = spectral.cross_spectra(x, 1.0, 1000 + channels, 0.5, spectral.dpss(1000 + channels, 4.0, 7), one_sided=channels == 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6
+    dense = spectral._dense_tapers(1001 + channels, 4.0, 7)[:, :-1]
+    assert np.allclose(s, spectral.cross_spectra(x, 1.0, 1000 + channels, 0.5, dense, one_sided=channels == 1)[1], atol=1e-9)
