@@ -6,7 +6,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from pulseloom.operators import binning, correlation
+from pulseloom.operators import binning, correlation, distances
 from pulseloom.plans import blocks
 
 
@@ -63,3 +63,53 @@ def test_two_tables_meet(spark):
     (a, x), (b, y) = counts_of(spark), counts_of(spark, [f"u{k}" for k in range(12)])
     got = {(r.i, r.j, r.lag): r.value for r in correlation.cross_correlation_histogram(a, b, (0, 1)).collect()}
     assert got == {(i, j, k): v for i, j in product(x, y) for k in (0, 1) if (v := int(sum(x[i][t] * y[j][t + k] for t in range(40 - k))))}
+
+
+def spikes_of(spark):
+    rng = np.random.default_rng(8)
+    trains = {f"t{k}": sorted(rng.integers(0, 100_000, rng.integers(1, 30)).tolist()) for k in range(11)}
+    trains["t11"] = list(trains["t10"])
+    return spark.createDataFrame([(i, t) for i, ts in trains.items() for t in ts], "train_id string, t_us long"), trains
+
+
+def test_tiling_of_all_pairs(spark):
+    spikes, trains = spikes_of(spark)
+    df = correlation.spike_time_tiling(spikes, 2000, 0, 100_000)
+    assert unshuffled_pairs(df)
+    tiled = {i: len(set().union(*[range(max(0, t - 2000), min(100_000, t + 2000)) for t in ts])) / 100_000 for i, ts in trains.items()}
+    hit = lambda i, j: np.mean([any(abs(t - u) <= 2000 + 1e-5 * u for u in trains[j]) for t in set(trains[i])])
+    part = lambda p, t: 1.0 if p * t == 1 else (p - t) / (1 - p * t)
+    got = {(r.i, r.j): r.sttc for r in df.collect()}
+    assert set(got) == {(i, j) for i, j in product(trains, trains) if i < j}
+    assert all(v == pytest.approx((part(hit(i, j), tiled[j]) + part(hit(j, i), tiled[i])) / 2) for (i, j), v in got.items())
+
+
+@pytest.mark.parametrize("cost", [0.0, math.inf])
+def test_distances_of_counts_shuffle_no_pairs(spark, cost):
+    spikes, trains = spikes_of(spark)
+    df = distances.victor_purpura(spikes, cost)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "Exchange" not in plan.split("Join")[0]
+    want = {(i, j): abs(len(trains[i]) - len(trains[j])) if cost == 0 else len(trains[i]) + len(trains[j]) for i, j in product(trains, trains) if i < j}
+    rows = df.collect()
+    assert len(rows) == len(want) and {(r.i, r.j): r.distance for r in rows} == want
+
+
+@pytest.mark.parametrize("tau", [50.0, 3000.0, 1e6])
+def test_van_rossum_of_all_pairs(spark, tau):
+    spikes, trains = spikes_of(spark)
+    df = distances.van_rossum(spikes, tau)
+    assert unshuffled_pairs(df)
+    met = lambda i, j: np.exp(-np.abs(np.subtract.outer(trains[i], trains[j])) / tau).sum()
+    got = {(r.i, r.j): r.distance for r in df.collect()}
+    assert set(got) == {(i, j) for i, j in product(trains, trains) if i < j}
+    assert all(v == pytest.approx(math.sqrt(max(0, met(i, i) + met(j, j) - 2 * met(i, j))), abs=1e-6) for (i, j), v in got.items())
+    assert got["t10", "t11"] == 0
+
+
+def test_edit_distances_of_many_trains_at_once(spark):
+    spikes, trains = spikes_of(spark)
+    got = {(r.i, r.j): r.distance for r in distances.victor_purpura(spikes, 700.0).collect()}
+    assert all(v == pytest.approx(distances.edit_distance_plain([t / 1e6 for t in trains[i]], [t / 1e6 for t in trains[j]], 700.0)) for (i, j), v in got.items())
+    many = np.array([[0.1, 0.2], [0.3, 0.0]])
+    assert distances.edit_distances(np.array([0.1, 0.25]), many, np.array([2, 1]), 1.0).tolist() == pytest.approx([0.05, 1.05])
