@@ -6,7 +6,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from pulseloom.operators import binning, correlation, distances
+from pulseloom.operators import binning, correlation, distances, patterns
 from pulseloom.plans import blocks
 
 
@@ -113,3 +113,20 @@ def test_edit_distances_of_many_trains_at_once(spark):
     assert all(v == pytest.approx(distances.edit_distance_plain([t / 1e6 for t in trains[i]], [t / 1e6 for t in trains[j]], 700.0)) for (i, j), v in got.items())
     many = np.array([[0.1, 0.2], [0.3, 0.0]])
     assert distances.edit_distances(np.array([0.1, 0.25]), many, np.array([2, 1]), 1.0).tolist() == pytest.approx([0.05, 1.05])
+
+
+def test_coincidences_and_assemblies_of_all_pairs(spark):
+    b, x = counts_of(spark)
+    df = patterns.pair_coincidences(b.counts, 2)
+    assert unshuffled_pairs(df)
+    want = {(i, j, k): v for i, j in product(x, x) if i < j for k in range(-2, 3) if (v := int(sum(min(x[i][t], x[j][t + k]) for t in range(40) if 0 <= t + k < 40)))}
+    rows = df.collect()
+    assert len(rows) == len(want) and {(r.i, r.j, r.lag): r.n for r in rows} == want
+    df = patterns.assembly_pairs(b.counts, 40, 2, 1e9, 3)
+    assert unshuffled_pairs(df)
+    best = {}
+    for (i, j, k), n in want.items():
+        best[i, j] = max(best.get((i, j), (0, 0, 0)), (n, -abs(k), -k))
+    want = {ij: (-k, n, (n - (m := x[ij[0]].sum() * x[ij[1]].sum() / 40)) / math.sqrt(m)) for ij, (n, _, k) in best.items() if n >= 3}
+    got = {(r.i, r.j): (r.lag, r.n, r.z) for r in df.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)

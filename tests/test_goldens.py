@@ -454,3 +454,13 @@ def test_multitaper_spectra_of_long_segments_take_little_memory(channels):
     assert peak < 8e6
     dense = spectral._dense_tapers(1001 + channels, 4.0, 7)[:, :-1]
     assert np.allclose(s, spectral.cross_spectra(x, 1.0, 1000 + channels, 0.5, dense, one_sided=channels == 1)[1], atol=1e-9)
+
+
+def test_cubic_of_counts_too_even_for_a_test(spark, tmp_path):
+    from pulseloom.queries import QUERIES
+
+    one = F.expr("TIMESTAMP '2024-01-01 00:30:00' + make_interval(0, 0, 0, 0, cast(id % 720 as int))")
+    spark.range(1440).select(F.col("id").alias("event_id"), one.alias("ts"), (F.col("id") % 9).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["cubic"](spark, str(tmp_path)).collect()] == [(None, None)]
+    with pytest.raises(ValueError, match="less than the mean"):
+        population.cubic(spark.createDataFrame([(k, 5) for k in range(9)], "bin int, value long"))
