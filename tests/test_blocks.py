@@ -130,3 +130,21 @@ def test_coincidences_and_assemblies_of_all_pairs(spark):
     want = {ij: (-k, n, (n - (m := x[ij[0]].sum() * x[ij[1]].sum() / 40)) / math.sqrt(m)) for ij, (n, _, k) in best.items() if n >= 3}
     got = {(r.i, r.j): (r.lag, r.n, r.z) for r in df.collect()}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_closed_sets_are_not_stored_and_subsets_meet_no_join(spark):
+    rng = np.random.default_rng(2)
+    cells = spark.createDataFrame([(int(u), int(t)) for u, t in zip(*np.nonzero(rng.random((9, 60)) < 0.3), strict=True)], "unit long, bin long")
+    sets = patterns.closed_sets(patterns.context(cells, 3), 3, 2, 3)
+    assert "ExistingRDD" not in sets._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    kept = patterns.drop_window_subsets(sets, 3)
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    rows = sets.collect()
+
+    def ref(r):
+        last = max(x % 3 for x in r.itemset)
+        return {x // 3 * 3 + last - x % 3 for x in r.itemset}
+
+    want = {tuple(r.itemset) for r in rows if not any(q.support == r.support and ref(r) < ref(q) for q in rows)}
+    got = [tuple(r.itemset) for r in kept.collect()]
+    assert len(got) == len(want) and set(got) == want and 0 < len(want) < len(rows)
