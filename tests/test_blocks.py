@@ -148,3 +148,33 @@ def test_closed_sets_are_not_stored_and_subsets_meet_no_join(spark):
     want = {tuple(r.itemset) for r in rows if not any(q.support == r.support and ref(r) < ref(q) for q in rows)}
     got = [tuple(r.itemset) for r in kept.collect()]
     assert len(got) == len(want) and set(got) == want and 0 < len(want) < len(rows)
+
+
+def test_stability_meets_no_join_and_lots_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    cells = spark.createDataFrame([(int(u), int(t)) for u, t in zip(*np.nonzero(rng.random((9, 60)) < 0.35), strict=True)], "unit long, bin long")
+    items = patterns.context(cells, 2)
+    sets = patterns.closed_sets(items, 2, 2, 3)
+    df = patterns.stability(sets, items, 100, 7)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    whole = {tuple(r.itemset): r for r in df.collect()}
+    monkeypatch.setattr(patterns, "LOT_ROWS", 150)
+    parted = {tuple(r.itemset): r for r in patterns.stability(sets, items, 100, 7).collect()}
+    assert items.count() > 300 and len(whole) == sets.count() and whole == parted
+
+    held = {}
+    for r in items.collect():
+        held.setdefault(r.window, set()).add(r.item)
+    at = {}
+    for w, xs in held.items():
+        for x in xs:
+            at.setdefault(x, set()).add(w)
+
+    def share(things, own, holds, salt):  # of the same subsets
+        drawn = patterns._drawn(np.array([things], np.int64), 100, 7, salt)[0].astype(bool)
+        rest = set.union(*(holds[t] for t in things)) - set(own)
+        return 1 - np.mean([bool(set.intersection(rest, *(holds[t] for t, on in zip(things, c, strict=True) if on))) for c in drawn.T])
+
+    assert {len(r.windows) for r in whole.values()} >= {3, 4, 5, 8}
+    for r in whole.values():
+        assert r.intensional == pytest.approx(share(r.windows, r.itemset, held, 1)) and r.extensional == pytest.approx(share(r.itemset, r.windows, at, 2))
