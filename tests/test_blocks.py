@@ -178,3 +178,10 @@ def test_stability_meets_no_join_and_lots_change_nothing(spark, monkeypatch):
     assert {len(r.windows) for r in whole.values()} >= {3, 4, 5, 8}
     for r in whole.values():
         assert r.intensional == pytest.approx(share(r.windows, r.itemset, held, 1)) and r.extensional == pytest.approx(share(r.itemset, r.windows, at, 2))
+
+
+def test_spade_by_stability_alone_stores_no_sets(spark):
+    cells = spark.createDataFrame([(u, 10 * r + u) for r in range(5) for u in range(3)], "unit long, bin long")
+    df = patterns.spade(cells, 4, n_subsets=50, stability_above=(0.5, 0.5), min_support=5)
+    assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().executedPlan().toString()
+    assert [(list(r.itemset), r.support) for r in df.collect()] == [([0, 5, 10], 5)]
