@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +54,9 @@ def detrended(seg: np.ndarray, how: str | None) -> np.ndarray:
     return out
 
 
-#: Points up to which tapers come from the dense eigenproblem; beyond, from a subspace of smooth vectors.
-DENSE_POINTS = 256
+#: Points up to which tapers come from the dense eigenproblem; beyond, from a subspace of smooth vectors, and beyond
+#: LONG_POINTS (a multiple of the square of the degree) from polynomials, by stretches of POINTS.
+DENSE_POINTS, LONG_POINTS, POINTS = 256, 20_000, 4096
 
 
 def _dense_tapers(m: int, nw: float, k: int) -> np.ndarray:
@@ -66,7 +69,34 @@ def _dense_tapers(m: int, nw: float, k: int) -> np.ndarray:
 
 
 def _long_tapers(m: int, nw: float, k: int) -> np.ndarray:
-    """The same vectors in memory linear in m: the band-limiting matrix, which shares them, is applied by transforms
+    """The same vectors within the span of Legendre polynomials, by stretches of POINTS: besides the vectors, memory does
+    not grow with m.
+
+    They are as smooth as their bandwidth, so that a polynomial's coefficients fall faster than exponentially beyond it.
+    The form is written by differences of neighbours, without its constant, so that nothing large cancels."""
+    degree = int(1.2 * np.pi * nw) + k + 40
+    points = lambda lo, hi: np.polynomial.legendre.legvander(((m - 1) / 2 - np.arange(lo, hi)) / (m / 2), degree)
+    gram, form = np.zeros((2, degree + 1, degree + 1))
+    for lo in range(0, m, POINTS):
+        hi = min(lo + POINTS, m)
+        p = points(lo, min(hi + 1, m))
+        step, t = np.diff(p, axis=0), np.arange(lo + 1, lo + len(p))
+        form -= step.T @ (step * (t * (m - t) / 2)[:, None])
+        p = p[: hi - lo]
+        gram += p.T @ p
+        form -= 2 * np.sin(np.pi * nw / m) ** 2 * (p.T @ (p * (((m - 1) / 2 - np.arange(lo, hi)) ** 2)[:, None]))
+    unit = np.linalg.inv(np.linalg.cholesky(gram))
+    form = unit @ form @ unit.T
+    values, turn = np.linalg.eigh((form + form.T) / 2)
+    turn = unit.T @ turn[:, np.argsort(values)[::-1][:k]]
+    out = np.empty((k, m))
+    for lo in range(0, m, POINTS):
+        out[:, lo : lo + POINTS] = (points(lo, min(lo + POINTS, m)) @ turn).T
+    return out
+
+
+def _smooth_tapers(m: int, nw: float, k: int) -> np.ndarray:
+    """The same vectors in memory of some vectors more: the band-limiting matrix, which shares them, is applied by transforms
     to some more smooth vectors than are wanted, and the tridiagonal matrix is solved within what these span.
 
     Its form is written by differences of neighbours, without its constant, so that nothing large cancels."""
@@ -90,7 +120,8 @@ def _long_tapers(m: int, nw: float, k: int) -> np.ndarray:
 @lru_cache(maxsize=2)
 def dpss(n: int, nw: float, k: int) -> np.ndarray:
     """k periodic discrete prolate spheroidal tapers, by the symmetric tridiagonal eigenproblem of n + 1 points."""
-    out = (_dense_tapers if n < DENSE_POINTS else _long_tapers)(n + 1, nw, k)
+    long = n >= max(LONG_POINTS, (int(1.2 * np.pi * nw) + k + 40) ** 2)  # where the polynomials are still apart
+    out = (_dense_tapers if n < DENSE_POINTS else _long_tapers if long else _smooth_tapers)(n + 1, nw, k)
     for i, v in enumerate(out):
         # Even tapers have a positive mean, odd ones start upwards.
         flip = v.sum() < 0 if i % 2 == 0 else v[np.argmax(np.abs(v) > 1e-7 * np.abs(v).max())] < 0
@@ -122,10 +153,12 @@ def cross_spectra(x: np.ndarray, fs: float, length: int, overlap: float, tapers:
         seg = np.array(parts)
         if tapers is None:
             seg = detrended(seg, detrend)
-        f = np.fft.rfft(seg[:, None, :] * windows[None], points, axis=-1)
-        whole = windows.sum() ** 2 if scaling == "spectrum" else fs * (windows**2).sum()
-        s = np.einsum("ikf,jkf->ijf", np.conj(f), f) / (whole if tapers is None else fs * len(windows))
-        total = s if total is None else total + s
+        whole = (windows.sum() ** 2 if scaling == "spectrum" else fs * (windows**2).sum()) if tapers is None else fs * len(windows)
+        for w in windows:  # one at a time: a segment's transforms are as large as its tapers
+            f = np.fft.rfft(seg * w, points, axis=-1)
+            s = np.conj(f)[:, None] * f[None]
+            s /= whole
+            total = s if total is None else np.add(total, s, out=total)
     count = len(_segments(x[0], length, overlap))
     out = total / count
     stop = -1 if points % 2 == 0 and tapers is None else None
@@ -134,14 +167,51 @@ def cross_spectra(x: np.ndarray, fs: float, length: int, overlap: float, tapers:
     return np.fft.rfftfreq(points, 1 / fs), out
 
 
-def _grouped(samples: DataFrame, by: str, fn, schema: str) -> DataFrame:  # noqa: ANN001
-    """``fn(channels, x [channel, time])`` -> dict of arrays for each value of ``by``."""
+def _in_order(t: pa.Table) -> np.ndarray:
+    """The values v of one channel in order of k."""
+    return t.column("v").to_numpy()[np.argsort(t.column("k").to_numpy(), kind="stable")].astype(float, copy=False)
+
+
+def _channels(t: pa.Table) -> tuple[list, np.ndarray]:
+    """The channels of (channel, k, v) in order, and their values [channel, time]; what a channel has not is NaN."""
+    channel, k = t.column("channel").to_numpy(), t.column("k").to_numpy()
+    names, times, order = np.unique(channel), [], []
+    for c in names:
+        own = np.flatnonzero(channel == c)
+        order.append(own[np.argsort(k[own], kind="stable")])
+        times.append(k[order[-1]])
+        if (times[-1][1:] == times[-1][:-1]).any():
+            raise ValueError("a channel has two values of one time")
+    v = t.column("v").to_numpy().astype(float, copy=False)
+    if all(np.array_equal(times[0], x) for x in times):
+        return names.tolist(), np.array([v[o] for o in order])
+    every = np.unique(np.concatenate(times))
+    x = np.full((len(names), len(every)), np.nan)
+    for row, at, o in zip(x, times, order, strict=True):
+        row[np.searchsorted(every, at)] = v[o]
+    return names.tolist(), x
+
+
+KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot(index="k", columns="channel", values="v").sort_index()
-        return pd.DataFrame({by: pdf[by].iloc[0], **fn(list(x.columns), x.to_numpy(float).T)})
 
-    return samples.groupBy(by).applyInPandas(run, f"{by} {samples.schema[by].dataType.simpleString()}, {schema}")
+def _by_groups(samples: DataFrame, by: str, fn: Callable[[pa.Table], dict], schema: str) -> DataFrame:
+    """``fn(rows)`` -> dict of arrays for each value of ``by``, after that."""
+    types = dict(x.split() for x in schema.split(", "))
+
+    def run(t: pa.Table) -> pa.Table:
+        key = t.column(by)[0]
+        found = fn(t)
+        del t
+        columns = {c: pa.array(found.pop(c), KINDS[kind]) for c, kind in types.items()}
+        return pa.table({by: pa.repeat(key, len(next(iter(columns.values())))), **columns})
+
+    return samples.groupBy(by).applyInArrow(run, f"{by} {samples.schema[by].dataType.simpleString()}, {schema}")
+
+
+def _grouped(samples: DataFrame, by: str, fn: Callable[[list, np.ndarray], dict], schema: str) -> DataFrame:
+    """``fn(channels, x [channel, time])`` -> dict of arrays for each value of ``by``."""
+    return _by_groups(samples.select(by, "channel", "k", "v"), by, lambda t: fn(*_channels(t)), schema)
 
 
 def welch_psd(samples: DataFrame, fs: float = 1.0, overlap: float = 0.5, taper: str = "hann", detrend: str | None = "constant", scaling: str = "density", nfft: int | None = None, **segments) -> DataFrame:  # noqa: ANN003
@@ -158,13 +228,13 @@ def welch_psd(samples: DataFrame, fs: float = 1.0, overlap: float = 0.5, taper:
 def multitaper_psd(samples: DataFrame, fs: float = 1.0, nw: float = 4.0, n_tapers: int | None = None, n_segments: int = 1, overlap: float = 0.5, **segments) -> DataFrame:  # noqa: ANN003
     """(channel, freq, psd) with 2 * nw - 1 tapers, on the whole signal or averaged over segments."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("k")["v"].to_numpy(float)
+    def fn(t: pa.Table) -> dict:
+        x = _in_order(t)
         length = segment_length(len(x), fs, n_segments, overlap=overlap, **segments)
         f, s = cross_spectra(x[None], fs, length, overlap, dpss(length, nw, n_tapers or int(2 * nw) - 1))
-        return pd.DataFrame({"channel": pdf["channel"].iloc[0], "freq": f, "psd": s[0, 0].real})
+        return {"freq": f, "psd": s[0, 0].real}
 
-    return samples.groupBy("channel").applyInPandas(run, f"channel {samples.schema['channel'].dataType.simpleString()}, freq double, psd double")
+    return _by_groups(samples.select("channel", "k", "v"), "channel", fn, "freq double, psd double")
 
 
 def multitaper_cross_spectrum(samples: DataFrame, by: str = "recording", fs: float = 1.0, nw: float = 4.0, n_segments: int = 1, overlap: float = 0.5) -> DataFrame:

@@ -464,3 +464,25 @@ def test_cubic_of_counts_too_even_for_a_test(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["cubic"](spark, str(tmp_path)).collect()] == [(None, None)]
     with pytest.raises(ValueError, match="less than the mean"):
         population.cubic(spark.createDataFrame([(k, 5) for k in range(9)], "bin int, value long"))
+
+
+def peak_of(fn):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        out = fn()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_long_tapers_take_little_more_than_themselves():
+    from pulseloom.operators import spectral
+
+    spectral.dpss.cache_clear()
+    tapers, peak = peak_of(lambda: spectral.dpss(200_000, 4.0, 7))
+    spectral.dpss.cache_clear()
+    assert peak < 3 * 7 * 200_000 * 8
+    assert np.allclose(tapers**2, spectral._smooth_tapers(200_001, 4.0, 7)[:, :-1] ** 2, atol=1e-12)
+    assert np.allclose(spectral._long_tapers(3001, 4.0, 7) ** 2, spectral._dense_tapers(3001, 4.0, 7) ** 2, atol=1e-10)
