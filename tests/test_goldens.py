@@ -486,3 +486,21 @@ def test_long_tapers_take_little_more_than_themselves():
     assert peak < 3 * 7 * 200_000 * 8
     assert np.allclose(tapers**2, spectral._smooth_tapers(200_001, 4.0, 7)[:, :-1] ** 2, atol=1e-12)
     assert np.allclose(spectral._long_tapers(3001, 4.0, 7) ** 2, spectral._dense_tapers(3001, 4.0, 7) ** 2, atol=1e-10)
+
+
+def test_cross_spectra_of_recordings_take_little_memory_and_pad_what_a_channel_lacks(spark):
+    import pyarrow as pa
+
+    from pulseloom.operators import spectral
+
+    n = 100_000
+    x, tapers = np.random.default_rng(2).normal(size=(2, n)), spectral.dpss(n, 4.0, 7)
+    assert peak_of(lambda: spectral.cross_spectra(x, 1.0, n, 0.5, tapers, one_sided=False))[1] < 160 * n
+    k = np.random.default_rng(3).permutation(2 * n)
+    rows = pa.table({"channel": pa.array(k // n, pa.int32()), "k": pa.array(k % n), "v": pa.array(x[k // n, k % n])})
+    (names, got), peak = peak_of(lambda: spectral._channels(rows))
+    assert names == [0, 1] and (got == x).all() and peak < 120 * n
+    part = pa.table({"channel": pa.array([7, 3, 7, 3], pa.int32()), "k": [2, 5, 1, 1], "v": [1.0, 2.0, 3.0, 4.0]})
+    assert np.array_equal(spectral._channels(part)[1], [[4, np.nan, 2], [3, 1, np.nan]], equal_nan=True)
+    with pytest.raises(ValueError, match="two values of one time"):
+        spectral._channels(pa.table({"channel": pa.array([1, 1], pa.int32()), "k": [0, 0], "v": [1.0, 2.0]}))
