@@ -4,7 +4,9 @@ import math
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pulseloom.operators import binning, correlation, distances, patterns
 from pulseloom.plans import blocks
@@ -185,3 +187,40 @@ def test_spade_by_stability_alone_stores_no_sets(spark):
     df = patterns.spade(cells, 4, n_subsets=50, stability_above=(0.5, 0.5), min_support=5)
     assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().executedPlan().toString()
     assert [(list(r.itemset), r.support) for r in df.collect()] == [([0, 5, 10], 5)]
+
+
+def test_blocks_travel_packed(spark):
+    """What the pairs' exchange holds is a packed row for each of a block's pairs of blocks, not a row for each train."""
+    b, x = counts_of(spark)
+    df = correlation.covariance(b)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")
+    assert "rows" in plan[1] and "bins" not in plan[1].split("Exchange")[0]
+    rng = np.random.default_rng(9)
+    cells = [np.unique(rng.integers(0, 720, 67)).tolist() for _ in range(1000)]
+    rows = pa.table({"train_id": list(range(1000)), "bins": pa.array(cells, pa.list_(pa.int64())), "ns": pa.array([[1] * len(c) for c in cells], pa.list_(pa.int64()))})
+    data = blocks.packed(rows)
+    assert len(data) < rows.nbytes / 10 and blocks.unpacked(data).equals(rows)
+
+
+@pytest.mark.parametrize("lists", [[[1, 5, 700], [], [-(2**63), 2**63 - 1, 0]], [[128, 256], [255], [127]], [[], [], []], [[1], None, [2]], [[1, None], [3], []]])
+def test_packed_trains_come_back(lists):
+    rows = pa.table({"train_id": ["a", "b", "c"], "bins": pa.array(lists, pa.list_(pa.int64())), "share": [0.1, None, 0.3]})
+    for part in (rows, rows.slice(1), rows.slice(0, 0)):
+        assert blocks.unpacked(blocks.packed(part)).equals(part)
+
+
+def test_covariance_is_rounded_as_before(spark, tmp_path):
+    """Small values go by a cheaper rounding, those of 64 and more by Spark's; both give Spark's."""
+    from datetime import datetime, timedelta
+
+    import __spark_entry__ as entry
+    from pulseloom.queries import hourly
+
+    rng = np.random.default_rng(3)
+    events = [(u, datetime(2024, 1, 1) + timedelta(hours=int(h), minutes=5)) for u in range(8) for h in rng.integers(0, 720, 5 * 3**u // 9 + 1)]
+    events += [(9, datetime(2024, 1, 3))] * 300
+    spark.createDataFrame(events, "user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.i, r.j): r.value for r in entry.queries()["covariance"](spark, str(tmp_path)).collect()}
+    want = {(r.i, r.j): r.value for r in correlation.covariance(hourly(spark, str(tmp_path))).withColumn("value", F.round("value", 9)).collect()}
+    assert got == want and max(got.values()) > 64 and len(got) == 45
