@@ -224,3 +224,36 @@ def test_covariance_is_rounded_as_before(spark, tmp_path):
     got = {(r.i, r.j): r.value for r in entry.queries()["covariance"](spark, str(tmp_path)).collect()}
     want = {(r.i, r.j): r.value for r in correlation.covariance(hourly(spark, str(tmp_path))).withColumn("value", F.round("value", 9)).collect()}
     assert got == want and max(got.values()) > 64 and len(got) == 45
+
+
+def test_only_significant_pairs_leave_their_task(spark, monkeypatch):
+    b, x = counts_of(spark)
+    made, real = [], patterns.block_pairs
+    monkeypatch.setattr(patterns, "block_pairs", lambda *a: made.append(real(*a)) or made[-1])
+    every = {(r.i, r.j): r for r in patterns.assembly_pairs(b.counts, 40, 2, 1e9, 1).collect()}
+    pairs = 11 * 10 // 2 * 5
+    for alpha in (1.0, 100.0):
+        rows = patterns.assembly_pairs(b.counts, 40, 2, alpha, 1).collect()
+        assert {(r.i, r.j): r for r in rows} == {k: r for k, r in every.items() if r.p <= alpha / pairs}
+        assert made[-1].count() == len(rows)
+    assert 0 < len(rows) < len(every) < made[0].count() + 1
+
+
+def test_critical_counts():
+    mean = np.array([[0.5, 3.0], [40.0, 800.0]])
+    got = patterns._critical(mean, 1e-3)
+    for m, n in zip(mean.ravel()[:3], got.ravel()[:3], strict=True):
+        above = [1 - sum(math.exp(-m) * m**q / math.factorial(q) for q in range(k)) for k in (int(n) - 1, int(n))]
+        assert above[0] > 1e-3 >= above[1]
+    assert got[1, 1] == np.inf and (patterns._critical(mean, 1.0) == 0).all()  # exp(-800) is 0, as in poisson_tail
+
+
+@pytest.mark.parametrize("per_pair", [0, 1e9])
+def test_smaller_counts_are_summed_either_way(monkeypatch, per_pair):
+    monkeypatch.setattr(correlation, "PER_PAIR", per_pair)
+    rng = np.random.default_rng(6)
+    x, y = rng.poisson(0.8, (6, 30)) * rng.integers(0, 4, (6, 1)), rng.poisson(1.1, (5, 30))
+    side = lambda c: blocks.Side(pa.table({"train_id": list(range(len(c))), "bins": [np.flatnonzero(v).tolist() for v in c], "ns": [v[v > 0].tolist() for v in c]}))
+    got = correlation.sums_of_products(side(x), side(y), [-1, 0, 2], least=True)(1, 6)
+    for m, lag in zip(got, (-1, 0, 2), strict=True):
+        assert m.tolist() == [[sum(min(int(a[t]), int(b[t + lag])) for t in range(30) if 0 <= t + lag < 30) for b in y] for a in x[1:6]]
