@@ -257,3 +257,36 @@ def test_smaller_counts_are_summed_either_way(monkeypatch, per_pair):
     got = correlation.sums_of_products(side(x), side(y), [-1, 0, 2], least=True)(1, 6)
     for m, lag in zip(got, (-1, 0, 2), strict=True):
         assert m.tolist() == [[sum(min(int(a[t]), int(b[t + lag])) for t in range(30) if 0 <= t + lag < 30) for b in y] for a in x[1:6]]
+
+
+def test_blocks_travel_to_lots(spark, monkeypatch):
+    """A block goes to each lot of blocks once, not to each block, and a table that meets itself is dealt once."""
+    monkeypatch.setattr(blocks, "BLOCK", 1)
+    monkeypatch.setattr(blocks, "LEAST", 2)
+    monkeypatch.setattr(blocks, "TASKS", 0)
+    b, x = counts_of(spark)
+    sent, real = [], blocks.F.inline
+    monkeypatch.setattr(blocks.F, "inline", lambda c: sent.append(c) or real(c))
+    got = {(r.i, r.j): r.value for r in correlation.covariance(b).collect()}
+    assert set(got) == {(i, j) for i, j in product(x, x) if i <= j}
+    assert all(v == pytest.approx(np.cov(x[i], x[j])[0, 1]) for (i, j), v in got.items())
+    want = {(i, j, k): v for i, j in product(x, x) for k in range(-2, 4) if (v := int(sum(x[i][t] * x[j][t + k] for t in range(40) if 0 <= t + k < 40)))}
+    df = correlation.cross_correlation_histogram(b, b, (-2, 3))
+    rows = df.collect()
+    assert len(rows) == len(want) and {(r.i, r.j, r.lag): r.value for r in rows} == want
+    assert len(sent) == 2 and "Union" not in df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(blocks, "LEAST", 99)
+    assert {(r.i, r.j): r.value for r in correlation.covariance(b).collect()} == got
+
+
+def test_values_are_rounded_as_before(spark):
+    """Values away from ties go by a cheaper rounding, the others by Spark's; both give Spark's."""
+    from pulseloom.queries import rounded
+
+    rng = np.random.default_rng(12)
+    ties = (np.arange(-300, 300) + 0.5) / 1e9
+    v = [*rng.uniform(-1, 1, 3000), *ties, *np.nextafter(ties, 1), *(ties * 1e3), 12345.6789012345, 1e300, float("inf"), float("nan"), 0.0, -0.0, -1e-12, None]
+    df = spark.createDataFrame([(None if x is None else float(x),) for x in v], "v double")
+    for places in (6, 9):
+        rows = df.select(rounded("v", places).cast("string").alias("a"), F.round("v", places).cast("string").alias("b")).collect()
+        assert all(r.a == r.b for r in rows)
