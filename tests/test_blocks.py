@@ -290,3 +290,24 @@ def test_values_are_rounded_as_before(spark):
     for places in (6, 9):
         rows = df.select(rounded("v", places).cast("string").alias("a"), F.round("v", places).cast("string").alias("b")).collect()
         assert all(r.a == r.b for r in rows)
+
+
+@pytest.mark.parametrize("cost", [40.0, 700.0, 1e5])
+def test_edit_distances_by_moves(monkeypatch, cost):
+    """Only events near each other are tried; equal times, runs of near events and empty trains included."""
+    rng = np.random.default_rng(13)
+    trains = [sorted(rng.integers(0, 300_000, rng.integers(0, 40)).tolist()) for _ in range(14)] + [[], [5, 5, 5, 9], [5, 5, 9, 9], list(range(0, 90_000, 3000))]
+    side = lambda ts: blocks.Side(pa.table({"train_id": list(range(len(ts))), "times": pa.array(ts, pa.list_(pa.int64()))}))
+    one, two = trains[:9] + trains[13:], trains[4:]
+    monkeypatch.setattr(distances, "PER_PAIR", 0)
+    got = distances._moves(side(one), side(two), cost)(2, len(one))
+    want = [[distances.edit_distance_plain([t / 1e6 for t in a], [t / 1e6 for t in b], cost) for b in two] for a in one[2:]]
+    assert got == pytest.approx(np.array(want))
+    monkeypatch.setattr(distances, "PER_PAIR", 1e9)
+    assert distances._moves(side(one), side(two), cost) is None
+
+
+def test_edit_distances_of_sparse_trains_need_few_moves():
+    ts = [[100_000_000_000 * k + 1000 * u for k in range(20)] for u in range(30)]
+    side = blocks.Side(pa.table({"train_id": list(range(30)), "times": pa.array(ts, pa.list_(pa.int64()))}))
+    assert distances._moves(side, side, 1 / 7200)(0, 1)[0] == pytest.approx([20 * u * 1e-3 / 7200 for u in range(30)])
